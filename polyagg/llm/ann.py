@@ -89,7 +89,7 @@ class Router:
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, 1), 1, kind="stable"), 1)
 
 
-def learn(sample: np.ndarray, parts: int, near: int = 10, cover: float = 0.985) -> tuple[Router, int]:
+def learn(sample: np.ndarray, parts: int, near: int = 10, cover: float = 0.96) -> tuple[Router, int]:
     """Router and number of parts to search: the fewest that hold `cover` of the sample's neighbours, where the router puts them."""
     x = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
     near = min(near, len(x) - 1)
@@ -136,7 +136,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int =
     A sample of at most sample_rows vectors, those with the smallest hash of their id, is made into a neighbour graph,
     parted evenly, and a router learns the parts.  Every vector is indexed under its most probable part; a query is
     compared, exactly and in double precision, with all vectors of its `probes` most probable parts.  Probes are by
-    default the fewest parts that hold 98.5 % of the sample's own neighbours; with as many as parts, the search is exact.
+    default the fewest parts that hold 96 % of the sample's own neighbours; with as many as parts, the search is exact.
 
     Rows whose id is null, whose vector is null, zero, or holds null or non-finite components, or has another length than
     most take no part.  Ties go to the smaller id; an id that occurs more than once is never its own neighbour.  Of equal

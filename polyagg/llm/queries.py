@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyagg.llm import ann, bpe, langid, syncmers
+from polyagg.llm import ann, bpe, langid, parity_sketch, substring_index, suffix_array, syncmers
 from polyagg.llm.chat import format_conversations, read_back
 from polyagg.llm.common import table
 from polyagg.llm.sharding import shard_documents
@@ -16,6 +16,16 @@ from polyagg.llm.sharding import shard_documents
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_array.dedup_suffixes(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parity_sketch.similar_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("node").alias("class_id"), "n_links")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +39,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_index.dedup_substrings(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
