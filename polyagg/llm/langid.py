@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, keep: tuple[str, ...] = ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

@@ -243,11 +243,11 @@ def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, node, component_id, n_links for each row of docs.
+    """doc_id, text_key (the text's checksum), n_shingles, node, root, component_id, n_links for each row of docs.
 
     A text's set is its distinct shingles of 5 words (runs of bytes other than ASCII white space, A-Z lower-cased), of
     fewer words all of them as one; rows of equal sets are one node, the class.  Nodes are linked when 100 * intersection
-    >= percent * union, percent 75 or more.  component_id is the smallest doc_id reached by links; texts without words
+    >= percent * union, percent 75 or more.  root is the component's smallest node and component_id the smallest doc_id reached by links; texts without words
     (null, empty) have no set and are linked with nothing.  n_links counts the verified links of the class; in blocks
     that more than LISTED nodes share, links inside a component that is already joined are not all listed.
 
@@ -316,6 +316,19 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(smallest, "root").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return out.join(labelled, "node", "left").select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    labelled = labelled.join(smallest, "root").join(degree, "node", "left").select("node", "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = made.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return out.join(labelled, "node", "left").select("doc_id", "text_key", "n_shingles", "node", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null counts as largest), of equal ids that of the
+    smallest checksum.  Rows without words are linked with nothing and stay."""
+    known = lambda df: df.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
+    found = known(similar_components(docs, percent).where("n_shingles > 0"))
+    first = found.groupBy("root").agg(F.min(F.struct("_none", "_id", "text_key")).alias("one")).select("one.*")
+    keys = ["_none", "_id", "text_key"]
+    rows = known(docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))))
+    kept = rows.join(first, keys).dropDuplicates(keys)
+    blank = rows.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*docs.columns).unionByName(blank.select(*docs.columns))

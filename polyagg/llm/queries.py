@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyagg.llm import ann, bpe, langid, parity_sketch, substring_index, suffix_array, syncmers
+from polyagg.llm import ann, bpe, langid, mixing, parity_sketch, substring_index, suffix_array, syncmers
 from polyagg.llm.chat import format_conversations, read_back
 from polyagg.llm.common import table
 from polyagg.llm.sharding import shard_documents
@@ -35,6 +35,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Shares of the mixture's expected tokens.
+MIXTURE = {"clean": 0.8, "poor": 0.15, "toxic": 0.05}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labels, MIXTURE, ("source",))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_pairs(table(spark, sf_dir, "documents"))
 

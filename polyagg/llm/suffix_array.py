@@ -309,3 +309,33 @@ def dedup_suffixes(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     rows = keyed(docs)
     return remove_bytes(rows, find_repeats(rows, least))
+
+
+def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
+    """docs with the repeats that dedup_suffixes() finds taken out of their texts, n_chars (if there is one) made to
+    fit, and documents left out whose text was wholly repeated.  Texts without repeats stay as they are, null ones too; in others,
+    bytes of a character that lost some of its bytes go as well."""
+    columns = docs.columns
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text_key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    spans = find_repeats(keyed(docs), least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", BATCH):
+            owner, first, end = span_arrays(batch.column("spans"))
+            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+            texts, keep = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if bounds[i] < bounds[i + 1]:
+                    raw = text.encode()
+                    a, b = merged(first[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]])
+                    text = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)).decode(errors="ignore")
+                    keep.append(text != "")
+                else:
+                    keep.append(True)
+                texts.append(text)
+            made = {"text": pa.array(texts, pa.string())}
+            out = pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in columns], names=columns)
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    left = with_spans(rows, spans).select(*columns, "spans").mapInArrow(run, rows.select(*columns).schema)
+    return left.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in columns else left
