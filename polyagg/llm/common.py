@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -46,11 +47,12 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/polyagg-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
+        """df as a table; large: what Spark shuffled to make it should go at once."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         schema = df.schema
         df.write.parquet(path)
-        release(self.spark)
+        release(self.spark, 3 if large else 1)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
@@ -61,10 +63,14 @@ class Workspace:
             pass
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps now, not at some later garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def release(spark: SparkSession, times: int = 1) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps now, not at some later garbage collection.  What
+    Python lets go reaches the JVM's collector by way of the gateway, and its cleaner a little later, so once may not do."""
+    for i in range(times):
+        gc.collect()
+        spark._jvm.System.gc()
+        if i + 1 < times:
+            time.sleep(0.3)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:

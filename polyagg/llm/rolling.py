@@ -81,7 +81,14 @@ def words(texts: list[bytes]) -> Words:
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """For each start of `width` values in a row, the place of the first smallest."""
+    """For each start of `width` values below 2^40 in a row, the place of the first smallest."""
+    if len(values) < 1 << 24:  # value and place fit into one number
+        best, size = values << np.uint64(24) | np.arange(len(values), dtype=np.uint64), 1
+        while size < width and len(best):
+            step = min(size, width - size)
+            best = np.minimum(best[:-step], best[step:]) if step < len(best) else best[:0]
+            size += step
+        return (best & np.uint64((1 << 24) - 1)).astype(np.int64)
     best, at, size = values, np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64), 1
     while size < width:
         step = min(size, width - size)
@@ -105,7 +112,7 @@ def minimizer_groups(kmers: np.ndarray, owner: np.ndarray, window: int, k: int)
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none
-    at = leftmost_minima(kmers, window - k + 1)[:n]
+    at = leftmost_minima(kmers >> np.uint64(24), window - k + 1)[:n]
     good = np.flatnonzero(owner[:n] == owner[window - 1 :])
     chosen = at[good]
     fresh = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (np.diff(good) != 1)])) if len(good) else np.zeros(0, np.int64)

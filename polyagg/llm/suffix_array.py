@@ -14,57 +14,41 @@ from polyagg.llm.common import Workspace, sliced, texts_as_bytes
 from polyagg.llm.rolling import Runs, merged, minimizer_groups, mix
 from polyagg.llm.substring_index import keyed, span_arrays, with_spans
 
-BATCH = 2_000_000
+BATCH = 1_000_000
 K = 16
 
 
 class SuffixArray:
-    """Enhanced suffix array of several byte strings: the sorted suffixes of at least `least` bytes, and their LCPs.
+    """Enhanced suffix array of several short byte strings: the sorted suffixes whose first `least` bytes occur more than
+    once, and the LCPs of neighbours.  A string's end sorts before any byte, and no match runs past it.
 
-    Characters are bytes plus one, and 0 follows each string, so no match runs past a string's end.  Ranks of 7, 14, 28
-    ... characters are found by doubling until they tell all suffixes apart or exceed the longest string; they also give
-    the LCP of neighbours, by steps of falling length.
+    Suffixes are compared by columns of 8 bytes, so strings should not be much longer than `least`.
     """
 
     def __init__(self, strings: list[bytes], least: int):
         sizes = np.array([len(s) for s in strings], np.int64)
-        self.first = np.cumsum(sizes + 7) - (sizes + 7)
-        chars = np.zeros(int((sizes + 7).sum()) + 7, np.int64)
-        owner = np.repeat(np.arange(len(strings)), sizes + 7)
-        place = np.arange(len(owner)) - self.first[owner]
-        inside = np.flatnonzero(place < sizes[owner])
-        chars[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-        n = len(owner)
-        self.end = (self.first + sizes)[owner]  # where the string of each place ends
-        key = np.zeros(n, np.int64)
-        for j in range(7):
-            key = key << 9 | chars[j : j + n]
-        ranks, length = [], 7
-        places = np.arange(n)
-        longest = int(sizes.max(initial=0))
-        while True:
-            values, rank = np.unique(key, return_inverse=True)
-            ranks.append((length, rank))
-            if length >= longest or len(values) == n:
-                break
-            key = rank * np.int64(n + 1) + rank[np.minimum(places + length, self.end)]
-            length *= 2
-        del key
-        starts = inside[self.end[inside] - inside >= least]
-        self.order = starts[np.argsort(ranks[-1][1][starts], kind="stable")]
-        self.owner, self.at = owner[self.order], place[self.order]
-        self.before = np.where(self.at > 0, chars[self.order - 1], 0)  # the character on the left, 0 at a string's start
-        a, b = self.order[:-1], self.order[1:]
-        common = np.zeros(len(a), np.int64)
-        for length, rank in [*reversed(ranks), *[(7, ranks[0][1])] * (len(ranks) == 1)]:
-            for _ in range(2):
-                x, y = np.minimum(a + common, self.end[a]), np.minimum(b + common, self.end[b])
-                same = (rank[x] == rank[y]) & (x < self.end[a]) & (y < self.end[b])
-                common = common + same * length
-        for _ in range(6):
-            x, y = np.minimum(a + common, self.end[a]), np.minimum(b + common, self.end[b])
-            common = common + ((chars[x] == chars[y]) & (x < self.end[a]) & (y < self.end[b]))
-        self.lcp = np.minimum(common, np.minimum(self.end[a] - a, self.end[b] - b))
+        first = np.cumsum(sizes) - sizes
+        width = -(-int(sizes.max(initial=1)) // 8) * 8
+        flat = np.frombuffer(b"".join(strings) + bytes(width), np.uint8)
+        owner = np.repeat(np.arange(len(strings)), sizes)
+        rest = (first + sizes)[owner] - np.arange(len(owner))
+        start = np.flatnonzero(rest >= least)
+        head = Runs(flat.astype(np.uint64) + np.uint64(1)).of(start, start + least)
+        by_head = np.argsort(head, kind="stable")
+        same = head[by_head[1:]] == head[by_head[:-1]]
+        again = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(start) else np.zeros(0, bool)
+        start = start[by_head[again]]
+        rest = rest[start]
+        text = flat[start[:, None] + np.arange(width)]
+        text[np.arange(width) >= rest[:, None]] = 0
+        keys = text.view(">u8").astype(np.uint64)
+        order = np.lexsort((rest, *keys.T[::-1]))
+        text, start, rest = text[order], start[order], rest[order]
+        self.owner, self.at = owner[start], start - first[owner[start]]
+        self.before = np.where(self.at > 0, flat[start - 1].astype(np.int64) + 1, 0)  # what is on the left, 0 at a string's start
+        differ = text[1:] != text[:-1]
+        common = np.where(differ.any(1), differ.argmax(1), width) if len(start) > 1 else np.zeros(0, np.int64)
+        self.lcp = np.minimum(common, np.minimum(rest[1:], rest[:-1]))
 
     def maximal_repeats(self, least: int) -> Iterator[tuple[int, int, int]]:
         """(length, i, j): the string of that length that begins the suffixes order[i:j], all its occurrences, for each
@@ -74,8 +58,8 @@ class SuffixArray:
         interval extends to the left if the same character stands before all its suffixes; a string's start counts
         as a character of its own.
         """
-        lcp = self.lcp
-        for run in np.split(np.flatnonzero(lcp >= least), np.flatnonzero(np.diff(np.flatnonzero(lcp >= least)) > 1) + 1):
+        lcp, high = self.lcp, np.flatnonzero(self.lcp >= least)
+        for run in np.split(high, np.flatnonzero(np.diff(high) > 1) + 1):
             if not len(run):
                 continue
             low = int(run[0])
@@ -133,15 +117,23 @@ def _candidates(least: int, buckets: int, batches: Iterator[pa.RecordBatch]) ->
             continue
         docs, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
         row = owner[at]
-        anchor, span = kmers[at], Runs(np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)).of(first, last + least)
+        # minimizers have small hashes: mixed again, they spread over all buckets
+        anchor, span = mix(kmers[at] ^ np.uint64(0x2545F4914F6CDD1D)), Runs(np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)).of(first, last + least)
         first, end = first - begin[row], last + least - begin[row]
         order = np.lexsort((docs[row], span, anchor))
         anchor, span, row, first, end = (x[order] for x in (anchor, span, row, first, end))
         fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])])
         least_doc = docs[row][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         late = docs[row] > least_doc
-        pack = lambda pick, to: _pack(to, anchor[pick], span[pick], docs[row[pick]], keys[row[pick]], first[pick], end[pick])
-        rows = [pack(np.flatnonzero(late), -1)] if late.any() else []
+        pack = lambda pick, to: _pack(to, anchor[pick], span[pick], row[pick], docs, keys, first[pick], end[pick])
+        rows = []
+        if late.any():
+            away = np.flatnonzero(late)
+            place = begin[row[away]] + row[away]  # one apart, so that documents' spans do not touch
+            a, b = merged(first[away] + place, end[away] + place)
+            own = np.searchsorted(begin + np.arange(len(begin)), a, "right") - 1
+            shift = begin[own] + own
+            rows.append(_pack(-1, np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64), own, docs, keys, a - shift, b - shift))
         kept = np.flatnonzero(~late)
         place = ((anchor[kept] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(place)) + 1
@@ -149,19 +141,21 @@ def _candidates(least: int, buckets: int, batches: Iterator[pa.RecordBatch]) ->
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "packed"])
 
 
-def _pack(bucket: int, anchor, span, docs, keys, first, end) -> tuple[int, bytes]:
+def _pack(bucket: int, anchor, span, row, docs, keys, first, end) -> tuple[int, bytes]:
     """Columns one after another, documents by place in a list of their own; small numbers take few bytes."""
-    both = np.stack([docs, keys], 1)
-    names, place = np.unique(both, axis=0, return_inverse=True)
+    there = np.zeros(len(docs), bool)
+    there[row] = True
+    names, place = np.flatnonzero(there), (np.cumsum(there) - 1)[row]
     wide = "<u2" if len(names) <= 1 << 16 else "<u4"
-    head = np.array([len(anchor), len(names), int(wide[2])], "<u4")
-    return bucket, b"".join([head.tobytes(), anchor.astype("<u8").tobytes(), span.astype("<u8").tobytes(), place.ravel().astype(wide).tobytes(), first.astype("<u4").tobytes(), (end - first).astype("u1").tobytes(), names.astype("<i8").tobytes()])
+    size = "u1" if (end - first).max(initial=0) < 256 else "<u4"
+    head = np.array([len(anchor), len(names), np.dtype(wide).itemsize, np.dtype(size).itemsize], "<u4")
+    return bucket, b"".join([head.tobytes(), anchor.astype("<u8").tobytes(), span.astype("<u8").tobytes(), place.astype(wide).tobytes(), first.astype("<u4").tobytes(), (end - first).astype(size).tobytes(), np.stack([docs[names], keys[names]], 1).astype("<i8").tobytes()])
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
-    n, names, wide = np.frombuffer(packed, "<u4", 3).tolist()
-    at, out = 12, []
-    for kind, count in (("<u8", n), ("<u8", n), (f"<u{wide}", n), ("<u4", n), ("u1", n), ("<i8", 2 * names)):
+    n, names, wide, long = np.frombuffer(packed, "<u4", 4).tolist()
+    at, out = 16, []
+    for kind, count in (("<u8", n), ("<u8", n), (f"<u{wide}", n), ("<u4", n), (f"<u{long}", n), ("<i8", 2 * names)):
         out.append(np.frombuffer(packed, kind, count, at))
         at += count * np.dtype(kind).itemsize
     anchor, span, place, first, size, own = out
@@ -191,7 +185,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     number = np.cumsum(group) - 1
     mixed = (np.minimum.reduceat(own_least, starts) < np.maximum.reduceat(own_least, starts))[number] & ~late
     pick = np.flatnonzero(late | mixed)
-    return _rows(mixed[pick], anchor[pick], docs[pick], keys[pick], first[pick], end[pick])
+    return _rows(mixed[pick], np.where(mixed, anchor, 0)[pick], docs[pick], keys[pick], first[pick], end[pick])
 
 
 def _cut(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +230,7 @@ def _scan(least: int, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield done()
 
 
-def find_repeats(rows: DataFrame, least: int = 50, bucket_bytes: int = 12_000_000, hot_group: int = 2000, chunk: int = 400_000) -> DataFrame:
+def find_repeats(rows: DataFrame, least: int = 50, bucket_bytes: int = 4_000_000, hot_group: int = 2000, chunk: int = 400_000) -> DataFrame:
     """Spans (doc_id, text_key, first, end) of keyed() rows' bytes whose every string of `least` bytes also starts in a
     smaller doc_id; their union covers all such strings.
 
@@ -260,23 +254,23 @@ def find_repeats(rows: DataFrame, least: int = 50, bucket_bytes: int = 12_000_00
         if key[0].as_py() >= 0:
             return _resolve(table)
         anchor, _, docs, keys, first, end = (np.concatenate(x) for x in zip(*map(_unpack, table.column("packed").to_pylist()), strict=True))
-        return _rows(False, anchor, docs, keys, first, end)
+        return _rows(False, np.zeros_like(anchor), docs, keys, first, end)
 
-    resolved = space.stage(dealt.groupBy("_deal").applyInArrow(settle, RESOLVED), "resolved")
+    resolved = space.stage(dealt.groupBy("_deal").applyInArrow(settle, RESOLVED), "resolved", large=True)
     covered = resolved.where("NOT doubtful").select("doc_id", "text_key", "first", "end")
     doubtful = resolved.where("doubtful").drop("doubtful")
     many = doubtful.groupBy("anchor").count().where(F.col("count") > hot_group).select("anchor", F.lit(True).alias("hot"))
     doubtful = doubtful.join(many, "anchor", "left")
     lists = doubtful.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "end", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
     asked = rows.join(lists, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans")
-    cut = space.stage(asked.mapInArrow(lambda b: _cut(least, b), "hot boolean, anchor long, doc_id long, text_key long, first int, bytes binary"), "cut")
+    cut = space.stage(asked.mapInArrow(lambda b: _cut(least, b), "hot boolean, anchor long, doc_id long, text_key long, first int, bytes binary"), "cut", large=True)
     spans = "doc_id long, text_key long, first int, end int"
     groups = cut.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor")
     scanned = groups.select("anchor", "doc_id", "text_key", "first", "bytes").mapInArrow(lambda b: _scan(least, chunk, b), spans)
     single = cut.where("hot").select("doc_id", "text_key", "first", F.col("bytes").alias("window"))
     first_of = single.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     dealt_out = single.join(first_of, "window").where("doc_id > least").select("doc_id", "text_key", "first", (F.col("first") + least).alias("end"))
-    found = space.stage(scanned.unionByName(dealt_out), "found")
+    found = space.stage(scanned.unionByName(dealt_out), "found", large=True)
     space.drop(cut)
     return covered.unionByName(found)
 
@@ -290,8 +284,13 @@ def remove_bytes(rows: DataFrame, spans: DataFrame) -> DataFrame:
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
             sizes, gone, runs, kept = [], [], [], []
             for i, text in enumerate(texts_as_bytes(batch.column("text"))):
-                a, b = merged(first[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]])
                 sizes.append(len(text))
+                if bounds[i] == bounds[i + 1]:
+                    gone.append(0)
+                    runs.append(0)
+                    kept.append(text)
+                    continue
+                a, b = merged(first[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]])
                 gone.append(int((b - a).sum()))
                 runs.append(len(a))
                 kept.append(b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)))
