@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,12 +25,9 @@ class RankQueue:
             self.levels.append([0] * -(-len(self.levels[-1]) // 64))
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """Give a rank that has no position a list of them; to one that has, append to buckets[rank]."""
+        self.buckets[rank] = positions
         for words in self.levels:
             word = words[rank >> 6]
             words[rank >> 6] = word | 1 << (rank & 63)
@@ -48,88 +45,141 @@ class RankQueue:
             at = at << 6 | (word & -word).bit_length() - 1
         return at
 
-    def pop(self, rank: int) -> int:
-        """The leftmost position of a rank that has one."""
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            for words in self.levels:
-                words[rank >> 6] &= ~(1 << (rank & 63))
-                if words[rank >> 6]:
-                    break
-                rank >>= 6
-        return position
+    def drain(self, rank: int) -> list[int]:
+        """All positions of a rank that has any, from left to right."""
+        positions = self.buckets.pop(rank)
+        for words in self.levels:
+            words[rank >> 6] &= ~(1 << (rank & 63))
+            if words[rank >> 6]:
+                break
+            rank >>= 6
+        positions.sort()
+        return positions
 
 
 class ByteBPE:
     """The merges of a rank file (base64 token, rank on each line; every single byte is a token).
 
     Each pattern match is encoded by itself: the pair of neighbouring tokens whose joined bytes have the lowest rank
-    is merged, leftmost first, until no pair has a rank.  Ids of short matches are kept, at most `keep` of them.
+    is merged, leftmost first, until no pair has a rank.  One queue serves many matches, side by side without pairs
+    between them: the lowest rank of all is the lowest of each match that has it.  Ids of short matches are kept, about
+    `keep` of them; the matches of a batch that are not known go through the queue together, `together` bytes at a time.
     """
 
-    def __init__(self, path: str, pattern: str, keep: int = 300_000):
+    def __init__(self, path: str, pattern: str, keep: int = 600_000, together: int = 200_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.longest = max(map(len, self.ranks))
+        self.single = np.array([self.ranks[bytes([x])] for x in range(256)])
+        self.double = np.array([self.ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)])
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(len(self.tokens))
-        self.keep = keep
-
-        class Known(dict):
-            def __missing__(known, piece: str) -> bytes:  # noqa: N805
-                packed = np.array(self.merge(piece.encode()), "<u4").tobytes()
-                if len(piece) <= 64:
-                    if len(known) >= self.keep:
-                        known.clear()
-                    known[piece] = packed
-                return packed
-
-        self.known = Known()
-
-    def merge(self, raw: bytes) -> list[int]:
-        """Token ids of one match."""
-        ranks, n = self.ranks, len(raw)
-        if (whole := ranks.get(raw)) is not None:
-            return [whole]
-        queue, longest = self.queue, self.longest
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a token's end is where the next begins
-        pair = [-1] * n  # the rank by which a token can merge with the next, as of now
-        for i in range(n - 1):
-            if (r := ranks.get(raw[i : i + 2], -1)) >= 0:
-                pair[i] = r
-                queue.push(r, i)
+        self.keep, self.together = keep, together
+        self.known: dict[str, bytes] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each of some matches that are not empty."""
+        ranks, raw, longest, queue = self.ranks, b"".join(pieces), self.longest, self.queue
+        n, buckets = len(raw), queue.buckets
+        begin = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        begins = begin.tolist()
+        edge = bytearray(n + 1)  # where a match begins, and the end
+        for x in begins:
+            edge[x] = 1
+        flat = np.frombuffer(raw, np.uint8).astype(np.int64)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a token ends where the next begins
+        tokens = self.single[flat].tolist()
+        rank = np.append(self.double[flat[:-1] << 8 | flat[1:]], -1)
+        rank[begin[1:] - 1] = -1
+        pair = rank.tolist()  # the rank by which a token can merge with the next, as of now
+        order = np.argsort(rank, kind="stable")
+        order = order[np.searchsorted(rank[order], 0) :]
+        for own in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1) if len(order) else []:
+            queue.fill(int(rank[own[0]]), own.tolist())
         while (r := queue.lowest()) >= 0:
-            i = queue.pop(r)
-            if pair[i] != r:
-                continue  # stale: merged away, or its neighbour changed
-            gone = after[i]
-            end = after[gone]
-            after[i] = end
-            pair[gone] = -1
-            if end < n:
-                before[end] = i
-            for at, to in ((before[i], end), (i, after[end] if end < n else 0)):
-                if at >= 0:
-                    new = ranks.get(raw[at:to], -1) if 0 < to - at <= longest else -1
-                    if pair[at] != new:
-                        pair[at] = new
+            wait, later = 0, []  # a match in which a lower rank has come up waits for that
+            for i in queue.drain(r):
+                if pair[i] != r:
+                    continue  # stale: merged away, or its neighbour changed
+                if i < wait:
+                    later.append(i)
+                    continue
+                gone = after[i]
+                end = after[gone]
+                after[i] = end
+                tokens[i] = r
+                pair[gone] = -1
+                new = -1
+                if end < n:
+                    before[end] = i
+                    if not edge[end] and (to := after[end]) - i <= longest:
+                        new = ranks.get(raw[i:to], -1)
+                pair[i] = new
+                if new >= 0:
+                    if (bucket := buckets.get(new)) is None:
+                        queue.fill(new, [i])
+                    else:
+                        bucket.append(i)
+                low = new
+                if not edge[i]:
+                    left = before[i]
+                    new = ranks.get(raw[left:end], -1) if end - left <= longest else -1
+                    if pair[left] != new:
+                        pair[left] = new
                         if new >= 0:
-                            queue.push(new, at)
+                            if (bucket := buckets.get(new)) is None:
+                                queue.fill(new, [left])
+                            else:
+                                bucket.append(left)
+                            if new < low or low < 0:
+                                low = new
+                if 0 <= low < r:
+                    wait = begins[bisect_right(begins, i)]
+            if later:
+                queue.fill(r, later)
         out, at = [], 0
-        while at < n:
-            out.append(ranks[raw[at : after[at]]])
-            at = after[at]
+        for end in begins[1:]:
+            own = []
+            while at < end:
+                own.append(tokens[at])
+                at = after[at]
+            out.append(own)
+        sizes = np.cumsum([len(own) for own in out]) * 4
+        packed = np.array([x for own in out for x in own], "<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *sizes.tolist()], sizes.tolist(), strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as little-endian unsigned 32-bit integers."""
+        known = self.known
+        if len(known) > self.keep:
+            known.clear()
+        found = [self.find(t) for t in texts]
+        missing: set[str] = set()
+        for pieces in found:
+            missing.update(set(pieces).difference(known))
+        long, held, size = [], [], 0
+        for p in missing:
+            raw = p.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                known[p] = whole.to_bytes(4, "little")
+                continue
+            if len(p) > 64:
+                long.append(p)
+            held.append((p, raw))
+            size += len(raw)
+            if size > self.together:
+                known.update(zip([h[0] for h in held], self.merge([h[1] for h in held]), strict=True))
+                held, size = [], 0
+        if held:
+            known.update(zip([h[0] for h in held], self.merge([h[1] for h in held]), strict=True))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in found]
+        for p in long:
+            del known[p]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.known.__getitem__, self.find(text)))
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -141,13 +191,11 @@ def bpe(path: str, pattern: str) -> ByteBPE:
 
 
 def _mapped(docs: DataFrame, column: str, kind, out: str, f) -> DataFrame:
-    if out in docs.columns and out != column:
-        docs = docs.drop(out)
-    keep = [c for c in docs.columns if c != column]
+    keep = [c for c in docs.columns if c not in (column, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, column, 4_000_000):
-            made = pa.array(map(f(), batch.column(column).cast(kind).to_pylist()), pa.binary())
+            made = pa.array(f()(batch.column(column).cast(kind).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, out])
 
     schema = docs.select(*keep).schema.add(out, "binary")
@@ -161,9 +209,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     other columns are kept, but one already named like `ids` is replaced.  Texts are encoded whole; a task holds
     a few MB of them, or one text if that is longer.
     """
-    return _mapped(docs, text, pa.string(), ids, lambda: lambda x, e=bpe(path, pattern).encode: e(x) if x else b"")
+    return _mapped(docs, text, pa.string(), ids, lambda: lambda xs: bpe(path, pattern).encode([x or "" for x in xs]))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The inverse of encode(): ids replaced by the bytes they stand for.  Null ids give no bytes."""
-    return _mapped(docs, ids, pa.binary(), text, lambda: lambda x, d=bpe(path, pattern).decode: d(x) if x else b"")
+    return _mapped(docs, ids, pa.binary(), text, lambda: lambda xs: [bpe(path, pattern).decode(x or b"") for x in xs])
