@@ -10,21 +10,20 @@ from pyspark.sql import functions as F
 
 from polyagg.llm.common import Workspace
 
-#: Hash buckets of words, posteriors' resolution, the squared z-score from which a word counts, and calibrations tried.
-BUCKETS, GRID, CHANCE = 32768, 256, 12.0
-SCALES = [(a, b) for a in (0.02, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0) for b in (0.0, 0.5, 1.0)]
+#: Hash buckets of words, posteriors' resolution, the squared z-score from which a word counts and how many do for a domain, and calibrations tried.
+BUCKETS, GRID, CHANCE, TELLING = 32768, 256, 10.0, 80
+BETWEEN = r"[\\s.,;:?()]+"
+SCALES = [(a, b) for a in (0.02, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0) for b in (0.0, 0.5, 1.0)]
 
 
 def words(text: str) -> Column:
-    """A text's words, lower-cased runs without white space."""
-    return F.expr(f"filter(split(lower(coalesce({text}, '')), '\\\\s+'), w -> w <> '')")
+    """A text's words, lower-cased: what stands between white space and common punctuation."""
+    return F.expr(f"array_remove(split(lower(coalesce({text}, '')), '{BETWEEN}'), '')")
 
 
 def word_buckets(words: str) -> Column:
-    """The buckets of the different words, as they are and without the punctuation around them.  How often a text repeats
-    a word tells little: its lines may be copies."""
-    bare = f"transform({words}, w -> btrim(w, '.,;:!?|()'))"
-    return F.expr(f"transform(array_union({words}, {bare}), w -> CAST(pmod(xxhash64(w), {BUCKETS}) AS INT))")
+    """The buckets of the different words.  How often a text repeats a word tells little: its lines may be copies."""
+    return F.expr(f"array_distinct(transform({words}, w -> CAST(xxhash64(w) & {BUCKETS - 1} AS INT)))")
 
 
 def numbers(values: list[float]) -> str:
@@ -33,14 +32,16 @@ def numbers(values: list[float]) -> str:
 
 
 class NaiveBayes:
-    """Word weights for domains; the posterior is the softmax of log prior + a * score / n^b, of which (a, b) is chosen by likelihood."""
+    """Word weights for domains, less those of the last domain, whose score is 0; the posterior is the softmax of
+    log prior + a * score / n^b, of which (a, b) is chosen by likelihood."""
 
     def __init__(self, domains: list[str], prior: list[float], weights: list[list[float]]):
         self.domains, self.prior, self.weights, self.scale = domains, prior, weights, SCALES[0]
 
     def scores(self, words: str) -> str:
         """SQL for the domains' scores."""
-        return f"array({', '.join(f'aggregate({words}, 0D, (s, x) -> s + {numbers(w)}[x])' for w in self.weights)})"
+        sums = [f"aggregate({words}, 0D, (s, x) -> s + {numbers([a - b for a, b in zip(w, self.weights[-1], strict=True)])}[x])" for w in self.weights[:-1]]
+        return f"array({', '.join([*sums, '0D'])})"
 
     def posteriors(self, scores: str, words: str, scale: tuple[float, float] | None = None) -> str:
         a, b = scale or self.scale
@@ -50,7 +51,7 @@ class NaiveBayes:
         return f"transform(array({e}), e -> transform(e, x -> x / aggregate(e, 0D, (s, y) -> s + y)))[0]"
 
 
-def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], docs_per_domain: int = 4000, limit: int = 200) -> NaiveBayes | None:
+def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], space: Workspace, docs_per_domain: int = 4000, limit: int = 200) -> NaiveBayes | None:
     """Fit on a bounded sample of labelled (doc_id, domain): about docs_per_domain ids of each domain, at most `limit` % more,
     by a hash of the id.  The sample is broadcast, as its size is bounded, so documents are not shuffled; word counts
     are pre-aggregated to at most BUCKETS numbers a domain.  Half the sample gives the words' weights, half the calibration.
@@ -66,7 +67,9 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], docs
     most = docs_per_domain * len(domains) * (100 + limit) // 100
     sample = labelled.where(chance < share).groupBy("_id").agg(F.min("_domain").alias("_domain")).orderBy(F.xxhash64("_id", F.lit(23)), "_id").limit(most)
     half = F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(2))
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_domain", half.alias("half"), words("text").alias("_words")).withColumn("words", word_buckets("_words"))
+    # a table of its own: else Spark would try the words of all documents for whether there are any
+    texts = space.stage(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "_domain", "text"), "sample")
+    known = texts.select("_domain", half.alias("half"), words("text").alias("_words")).withColumn("words", word_buckets("_words"))
     seen = known.where("half = 0").select("_domain", F.explode("words").alias("bucket")).groupBy("_domain", "bucket").count().collect()
     if not seen:
         return None
@@ -79,7 +82,9 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], docs
         own, other = sum(table[d]), max(sum(rest), 1.0)
         odds = [math.log(x / own) - math.log(max(y, 0.5) / other) for x, y in zip(table[d], rest, strict=True)]
         # a weight that chance could have made is noise, of which long texts would add up much
-        weights.append([w if w * w > CHANCE * (1 / x + 1 / max(y, 0.5)) else 0.0 for w, x, y in zip(odds, table[d], rest, strict=True)])
+        sure = [w * w / (1 / x + 1 / max(y, 0.5)) for w, x, y in zip(odds, table[d], rest, strict=True)]
+        least = max(CHANCE, sorted(sure)[-TELLING])
+        weights.append([w if z >= least else 0.0 for w, z in zip(odds, sure, strict=True)])
     total = sum(counts.values())
     model = NaiveBayes(domains, [max(counts.get(d, 0), 1) / total for d in domains], weights)
     rest = known.where("half = 1").select("words", F.expr(f"array_position(array({', '.join(repr(d) for d in domains)}), _domain)").alias("place"), F.expr(model.scores("words")).alias("scores"))
@@ -107,7 +112,7 @@ def membership(docs: DataFrame, model: NaiveBayes | None, domains: list[str], ke
 class Rates:
     """Rates r >= 0 that bring sum(r * tokens * member) to the targets: projected gradient descent, with momentum, on
 
-        1/2 * sum over domains of (share - target)^2 + ridge/2 * mean over tokens of (r - 1)^2.
+        1/2 * sum over domains of (share - target)^2 / target + ridge/2 * mean over tokens of (r - 1)^2.
 
     The gradient of a document's rate, for each of its tokens, depends on its membership alone, so a rate is a function of
     the membership: the descent is the list of the domains' errors so far, which any row can replay.
@@ -119,7 +124,7 @@ class Rates:
     def _replayed(self) -> str:
         """SQL: (r, y) after all errors so far; y is where the next gradient is taken."""
         moves = [(i / (i + 3), e) for i, e in enumerate(self.errors)]
-        # each move: r' = max(0, y - step * (member . error + ridge * (y - 1))), y' = r' + b * (r' - r)
+        # an error is (share - target) / target; each move: r' = max(0, y - step * (member . error + ridge * (y - 1))), y' = r' + b * (r' - r)
         steps = json.dumps([[b, *e] for b, e in moves])
         dot = " + ".join(f"member[{k}] * m[{k + 1}]" for k in range(len(self.targets)))
         new = f"greatest(0D, s.y - {self.step}D * ({dot} + {self.ridge}D * (s.y - 1D)))"
@@ -133,22 +138,23 @@ class Rates:
         return F.expr(self._replayed())
 
 
-def fit_rates(cells: DataFrame, targets: list[float], ridge: float = 0.0005, tolerance: float = 5e-4, most: int = 150) -> Rates:
+def fit_rates(cells: DataFrame, targets: list[float], ridge: float = 0.001, tolerance: float = 0.005, most: int = 60) -> Rates:
     """Fit on cells (member, tokens): one row for each membership that occurs, so at most as many as the grid has points."""
     n = len(targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     gram = [F.sum(F.col("tokens") * F.col("member")[i] * F.col("member")[j]) for i in range(n) for j in range(n)]
     g = [x / total for x in cells.agg(*gram).first()] if total else [0.0] * n * n
-    largest = max(sum(abs(g[i * n + j]) for j in range(n)) for i in range(n))  # bounds the largest eigenvalue
+    weight = [1 / max(t, 1e-4) for t in targets]
+    largest = max(sum(abs(g[i * n + j]) * math.sqrt(weight[i] * weight[j]) for j in range(n)) for i in range(n))  # bounds the largest eigenvalue
     rates = Rates(targets, ridge, 1 / (largest + ridge))
     if not total:
         return rates
     for _ in range(most):
         at = cells.select("tokens", "member", rates.probe().alias("s"))
-        sums = at.agg(*(F.sum(F.col("tokens") * F.col("s.y") * F.col("member")[k]) for k in range(n)), *(F.sum(F.col("tokens") * F.col("s.r") * F.col("member")[k]) for k in range(n))).first()
-        error = [sums[k] / total - targets[k] for k in range(n)]
-        settled = max(abs(sums[n + k] / total - targets[k]) for k in range(n))
-        change = max((abs(a - b) for a, b in zip(error, rates.errors[-1], strict=True)), default=1) if rates.errors else 1
+        sums = at.agg(*(F.sum(F.col("tokens") * F.col(v) * F.col("member")[k]) for v in ("s.y", "s.r") for k in range(n))).first()
+        error = [(sums[k] / total - targets[k]) * weight[k] for k in range(n)]
+        settled = max(abs(sums[n + k] / total - targets[k]) * weight[k] for k in range(n))
+        change = max(abs(a - b) for a, b in zip(error, rates.errors[-1], strict=True)) if rates.errors else 1
         if rates.errors and (settled < tolerance or change < tolerance / 100):
             break
         rates.errors.append(error)
@@ -160,7 +166,7 @@ class Mixture:
 
     def __init__(self, docs: DataFrame, labelled: DataFrame, domains: list[str], keep: tuple[str, ...] = ()):
         self.domains, space = domains, Workspace(docs.sparkSession, "mix")
-        self.model = learn_domains(docs, labelled, domains)
+        self.model = learn_domains(docs, labelled, domains, space)
         self.rows = space.stage(membership(docs, self.model, domains, keep), "members")
         self.cells = space.stage(self.rows.where("n_tokens > 0").groupBy("member").agg(F.sum("n_tokens").alias("tokens")), "cells")
 
@@ -193,14 +199,16 @@ def thinned(docs: DataFrame, labelled: DataFrame, domain: str, share: float) ->
     """docs drawn by the rates that bring one domain's expected tokens to `share` times what they are and leave the others'.
 
     A row stays if a number in [0, 1) made of its id's and text's hashes is below its rate, so rows of rate 1 or more all
-    stay, and a row's fate does not depend on the others'.
+    stay; so do rows whose membership in the domain is at most its share of all tokens.
     """
     domains = ["clean", "poor", "toxic"]
     mixture = Mixture(docs, labelled, domains)
-    rates = mixture.fit([s * (share if d == domain else 1.0) for d, s in zip(domains, mixture.shares(), strict=True)])
+    shares = mixture.shares()
+    rates = mixture.fit([s * (share if d == domain else 1.0) for d, s in zip(domains, shares, strict=True)])
+    place = domains.index(domain)
     rows = membership(docs, mixture.model, domains, tuple(c for c in docs.columns if c != "doc_id"))
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(chance < rates.rate()).select(*docs.columns)
+    return rows.where((F.col("member")[place] <= shares[place]) | (chance < rates.rate())).select(*docs.columns)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

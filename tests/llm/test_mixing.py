@@ -4,7 +4,7 @@ import numpy as np
 from polyagg.llm.mixing import fit_rates, mix, quality_domains
 from pyspark.sql import functions as F
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 TARGETS = {"clean": 0.8, "poor": 0.15, "toxic": 0.05}
 
 
@@ -28,10 +28,10 @@ def test_totals_meet_targets(spark):
 def brute(member, tokens, targets, ridge):
     share = tokens / tokens.sum()
     r = np.ones(len(tokens))
-    g = (member * share[:, None]).T @ member
+    g = (member * share[:, None]).T @ member / np.sqrt(np.outer(targets, targets))
     step = 1 / (np.linalg.eigvalsh(g).max() + ridge)
     for _ in range(200_000):
-        new = np.maximum(0, r - step * (member @ ((r * share) @ member - targets) + ridge * (r - 1)))
+        new = np.maximum(0, r - step * (member @ (((r * share) @ member - targets) / targets) + ridge * (r - 1)))
         if np.abs(new - r).max() < 1e-12:
             break
         r = new
@@ -44,7 +44,7 @@ def test_rates_against_plain_descent(spark):
     tokens = rng.integers(1, 1000, 200).astype(float)
     cells = spark.createDataFrame([(m.tolist(), float(t)) for m, t in zip(member, tokens)], "member array<double>, tokens double")
     for targets in ([0.2, 0.2, 0.6], [0.5, 0.45, 0.05]):
-        rates = fit_rates(cells, targets, ridge=0.02, tolerance=1e-7)
+        rates = fit_rates(cells, targets, ridge=0.02, tolerance=1e-7, most=150)
         got = np.array([r[0] for r in cells.select(rates.rate()).collect()])
         assert np.abs(got - brute(member, tokens, np.array(targets), 0.02)).max() < 0.02
 
@@ -57,11 +57,11 @@ def test_odd_rows(spark):
     rows = [(None, "idiot", "x"), (1, None, "x"), (2, "", "x"), (3, "a b " * 30_000, "x"), (3, "a b", "x"), (3, "a b", "x")]
     out = mix(spark.createDataFrame(rows, schema), none, TARGETS).collect()
     assert len(out) == 6 and all(np.isclose(r.p_clean, 85 / 256) for r in out)
-    rows += [(i, " ".join(rng.choice("pqrs" if i % 2 else "tuvw") for _ in range(20)), "x") for i in range(10, 60)]
-    labels = spark.createDataFrame([(i, "clean" if i % 2 else "toxic") for i in range(10, 60)] + [(None, "toxic"), (11, "other"), (1, "poor")], "doc_id long, domain string")
+    rows += [(i, " ".join(rng.choice("pqrs" if i % 2 else "tuvw") for _ in range(20)), "x") for i in range(10, 210)]
+    labels = spark.createDataFrame([(i, "clean" if i % 2 else "toxic") for i in range(10, 210)] + [(None, "toxic"), (11, "other"), (1, "poor")], "doc_id long, domain string")
     out = {r.doc_id: r for r in mix(spark.createDataFrame(rows, schema), labels, TARGETS).collect()}
-    assert np.mean([out[i].p_clean > out[i].p_toxic for i in range(11, 60, 2)]) == 1
-    assert np.mean([out[i].p_clean < out[i].p_toxic for i in range(10, 60, 2)]) == 1
+    assert np.mean([out[i].p_clean > out[i].p_toxic for i in range(11, 210, 2)]) == 1
+    assert np.mean([out[i].p_clean < out[i].p_toxic for i in range(10, 210, 2)]) == 1
     assert out[11].rate > out[10].rate
 
 
