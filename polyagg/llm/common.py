@@ -52,7 +52,8 @@ class Workspace:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         schema = df.schema
         df.write.parquet(path)
-        release(self.spark, 3 if large else 1)
+        if large:
+            release(self.spark, 3)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

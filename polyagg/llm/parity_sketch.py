@@ -229,14 +229,24 @@ def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                     out += [(min(node[o], node[j]), max(node[o], node[j]), m) for j in b[g].tolist()]
         return out
 
-    held, name, out = [], None, []
+    held, name, out, seen = [], None, [], {}
+
+    def fresh(rows):
+        """Groups that a family shares name mostly the same pairs."""
+        if len(seen) > 1_000_000:
+            seen.clear()
+        for a, b, m in rows:
+            if seen.get((a, b), -1) < m:
+                seen[a, b] = m
+                out.append((a, b, m))
+
     for batch in batches:
         for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "node", "n", "root", "bits")), strict=True):
             if sig != name:
-                out += group(held) if held else []
+                fresh(group(held) if held else [])
                 held, name = [], sig
             held.append(row)
-    out += group(held) if held else []
+    fresh(group(held) if held else [])
     if out:
         a, b, m = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.bool_())], names=["a", "b", "more"])
@@ -265,22 +275,25 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     space = Workspace(docs.sparkSession, "parity")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     schema = "doc_id long, text_key long, n int, node long, key long, sigs binary, bits binary"
-    made = space.stage(rows.mapInArrow(_sketched, schema), "sketched")
+    made = space.stage(rows.mapInArrow(_sketched, schema), "sketched", large=True)
     first = F.min(F.struct("doc_id", "sigs", "bits")).alias("one")
-    nodes = space.stage(made.where("n > 0").groupBy("node", "key", "n").agg(first, F.min("doc_id").alias("least")).select("node", "n", "least", "one.sigs", "one.bits"), "nodes")
+    nodes = space.stage(made.where("n > 0").groupBy("node", "key", "n").agg(first, F.min("doc_id").alias("least")).select("node", "n", "least", "one.sigs", "one.bits"), "nodes", large=True)
 
     blocks = nodes.select("node", "n", "sigs").mapInArrow(_exploded, "sig long, node long, n int")
     met = blocks.repartition("sig").sortWithinPartitions("sig").mapInArrow(_collisions, "sig long, a long, b long")
-    met = space.stage(met, "met")
+    met = space.stage(met, "met", large=True)
     sketches = nodes.select("node", "n", "bits")
     of = lambda side: sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
     near = met.where("sig IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
     near = space.stage(near.mapInArrow(_near, "a long, b long"), "near")
 
-    share = nodes.select("node", (F.octet_length("sigs") / 8).alias("blocks"))
     common = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("node")).distinct()
-    heavy = common.groupBy("node").count().join(share, "node").where(F.col("count") > COMMON * F.col("blocks")).select("node")
-    crowd = space.stage(common.join(heavy, "node").join(sketches, "node"), "crowd")
+    heavy = common.groupBy("node").count().join(nodes, "node").where(F.col("count") > COMMON * F.octet_length("sigs") / 8).select("node", "n", "bits")
+    # half of 96 blocks fail to show a pair with a chance of 1e-9; sets under 64 elements keep all
+    crowd = common.join(heavy, "node").where("n < 64 OR sig & 1 = 0")
+    # blocks of one family of near copies have few smallest nodes: dealt by that, a quarter each, they name a pair but a few times
+    family = crowd.groupBy("sig").agg(F.min("node").alias("_least")).select("sig", F.xxhash64("_least", F.pmod(F.shiftright("sig", 4), F.lit(4))).alias("family"))
+    crowd = space.stage(crowd.join(family, "sig"), "crowd")
     space.drop(met)
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct()
@@ -288,31 +301,38 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = F.min(F.struct("doc_id", "text_key")).alias("one")
     texts = made.where("n > 0").select("doc_id", "text_key", "node").join(wanted, "node").groupBy("node").agg(named).select("node", "one.*")
     found = rows.join(texts, rows["doc_id"].eqNullSafe(texts["doc_id"]) & (rows["text_key"] == texts["text_key"])).select("node", "text")
-    sets = space.stage(found.mapInArrow(_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    sets = space.stage(found.mapInArrow(_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets", large=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return space.stage(pairs.select("a", "b", "set_a", "set_b").mapInArrow(lambda x: _similar(percent, x), "a long, b long"), "links")
 
-    links, tested, top = verified(near), near, 4
-    roots = components(links, space)
+    links, tested, top, part = verified(near), near, 8, 8
+    # between rounds two rounds of contraction do: labels that differ within a component only cost tests
+    roots = space.stage(components(links, space, 2), "roots")
     groups = crowd.count()
     while groups:
-        labelled = crowd.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"), "bits")
-        pairs = labelled.repartition("sig").sortWithinPartitions("sig").mapInArrow(lambda x, t=top: _contenders(t, x), "a long, b long, more boolean")
+        labelled = crowd.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"), "bits", "family")
+        # an eighth of the blocks joins most of a group; whatever it leaves apart is then compared in all of them
+        some = labelled.where(f"pmod(shiftright(sig, 1), {part}) = 0")
+        pairs = some.repartition("family").sortWithinPartitions("sig").drop("family").mapInArrow(lambda x, t=top: _contenders(t, x), "a long, b long, more boolean")
         pairs = space.stage(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "contenders")
         fresh = space.stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
         if fresh.isEmpty():
-            if pairs.where("more").isEmpty():
+            if part > 1:
+                part = 1
+            elif pairs.where("more").isEmpty():
                 break
-            top *= 8
+            else:
+                top *= 8
             continue
         new = verified(fresh)
         tested = tested.unionByName(fresh)
         if not new.isEmpty():
             links = links.unionByName(new)
-            roots = space.stage(components(links, space), "roots")
+            roots = space.stage(components(links, space, 2), "roots")
+    roots = components(links, space)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

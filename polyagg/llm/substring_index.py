@@ -68,7 +68,7 @@ class FingerprintIndex:
         self.runs: list[list[DataFrame]] = [[]]
 
     def _write(self, run: DataFrame, name: str) -> DataFrame:
-        return self.space.stage(run.repartition("anchor").sortWithinPartitions("anchor", "span"), name)
+        return self.space.stage(run.repartition("anchor").sortWithinPartitions("anchor", "span"), name, large=True)
 
     def add(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Take in a batch of keyed() rows, whose ids exceed those of the batches before.
@@ -80,7 +80,7 @@ class FingerprintIndex:
         window, k = self.window, self.k
         schema = "anchor long, span long, doc_id long, text_key long, first int, end int"
         seen = rows.where("doc_id IS NOT NULL").mapInArrow(lambda b: _fingerprints(window, k, b), schema)
-        seen = self.space.stage(seen, "batch")
+        seen = self.space.stage(seen, "batch", large=True)
         one = F.struct("doc_id", "text_key", "first", "end")
         run = self._write(seen.groupBy("anchor", "span").agg(F.min(one).alias("at")), "run-0")
         old = [r for level in self.runs for r in level]
@@ -94,7 +94,7 @@ class FingerprintIndex:
         # a span's first document may hold it several times
         again = seen.join(mixed, ["anchor", "span"]).where("doc_id = at.doc_id").select("doc_id", "text_key", "first", "end")
         doubtful = mixed.select("at.*").unionByName(again).distinct()
-        out = self.space.stage(covered, "covered"), self.space.stage(doubtful, "doubtful")
+        out = self.space.stage(covered, "covered", large=True), self.space.stage(doubtful, "doubtful")
         self.space.drop(seen, classes)
         self.runs[0].append(run)
         self._compact()
@@ -134,10 +134,10 @@ class FingerprintIndex:
                 ], names=["a", "b", "doc_id", "text_key", "first"])
 
         asked = with_spans(rows.where("doc_id IS NOT NULL"), doubtful).where("spans IS NOT NULL").select("doc_id", "text_key", "text", "spans")
-        cuts = self.space.stage(asked.mapInArrow(cut, "a long, b long, doc_id long, text_key long, first int"), "windows")
+        cuts = self.space.stage(asked.mapInArrow(cut, "a long, b long, doc_id long, text_key long, first int"), "windows", large=True)
         least = cuts.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
         found = cuts.join(least, ["a", "b"]).where("doc_id > least").select("doc_id", "text_key", "first", (F.col("first") + window).alias("end"))
-        out = self.space.stage(found, "verified")
+        out = self.space.stage(found, "verified", large=True)
         self.space.drop(cuts)
         return out
 
