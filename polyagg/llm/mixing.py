@@ -138,7 +138,7 @@ class Rates:
         return F.expr(self._replayed())
 
 
-def fit_rates(cells: DataFrame, targets: list[float], ridge: float = 0.001, tolerance: float = 0.005, most: int = 60) -> Rates:
+def fit_rates(cells: DataFrame, targets: list[float], ridge: float = 0.001, tolerance: float = 0.01, most: int = 30) -> Rates:
     """Fit on cells (member, tokens): one row for each membership that occurs, so at most as many as the grid has points."""
     n = len(targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -199,7 +199,7 @@ def thinned(docs: DataFrame, labelled: DataFrame, domain: str, share: float) ->
     """docs drawn by the rates that bring one domain's expected tokens to `share` times what they are and leave the others'.
 
     A row stays if a number in [0, 1) made of its id's and text's hashes is below its rate, so rows of rate 1 or more all
-    stay; so do rows whose membership in the domain is at most its share of all tokens.
+    stay; so do rows that belong to the domain by less than a half.
     """
     domains = ["clean", "poor", "toxic"]
     mixture = Mixture(docs, labelled, domains)
@@ -208,7 +208,7 @@ def thinned(docs: DataFrame, labelled: DataFrame, domain: str, share: float) ->
     place = domains.index(domain)
     rows = membership(docs, mixture.model, domains, tuple(c for c in docs.columns if c != "doc_id"))
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where((F.col("member")[place] <= shares[place]) | (chance < rates.rate())).select(*docs.columns)
+    return rows.where((F.col("member")[place] < 0.5) | (chance < rates.rate())).select(*docs.columns)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

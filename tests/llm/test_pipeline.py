@@ -62,7 +62,7 @@ def test_repeats_leave_the_text(spark):
 
 
 def test_mixture_takes_toxic_text_down(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     kept = corpus_pipeline.mixture(spark, docs, sf)
     assert kept.columns == docs.columns
@@ -70,7 +70,7 @@ def test_mixture_takes_toxic_text_down(spark):
     for name, df in (("before", docs), ("after", kept)):
         share[name] = {r.k: r.n for r in df.join(labels, "doc_id").groupBy((F.col("toxic") * 2 + F.col("quality")).alias("k")).agg(F.count("*").alias("n")).collect()}
     toxic = sum(share["after"].get(k, 0) for k in (2, 3)) / sum(share["before"][k] for k in (2, 3) if k in share["before"])
-    assert share["after"][1] >= 0.97 * share["before"][1] and toxic < 0.95, share
+    assert share["after"][1] >= 0.97 * share["before"][1] and toxic < 0.6, share
 
 
 def test_empty(spark):
