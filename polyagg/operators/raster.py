@@ -27,7 +27,7 @@ def added(rows: DataFrame) -> DataFrame:
     return rows.groupBy("poly_id").agg(F.sum("cnt").alias("cnt"), F.sum("sum_v").alias("sum_v"))
 
 
-def raster_join(points: DataFrame, edges: DataFrame, grid: Grid, index: Grid) -> DataFrame:
+def pixel_join(points: DataFrame, edges: DataFrame, grid: Grid, index: Grid) -> DataFrame:
     """Approximate (poly_id, cnt, sum_v): a pixel's points count for the polygons that hold its centre, so only points nearer
     to a border than a pixel's diagonal can be misplaced."""
     return added(covered(pixels(points, grid), edges, grid, index))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from polyagg.functions.geometry import Bounds, Grid, canvas, square_grid
 from polyagg.functions.predicates import conjunction, time_range
 from polyagg.operators.index import grid_index, index_join, nested_join
-from polyagg.operators.raster import hybrid_join, range_join, raster_join
+from polyagg.operators.raster import hybrid_join, range_join, pixel_join
 from polyagg.sources.polygons import Polygons
 
 
@@ -32,7 +32,7 @@ def _nested(q: SpatialAggregation, points: DataFrame, edges: DataFrame) -> DataF
 STRATEGIES: dict[str, Callable[[SpatialAggregation, DataFrame, DataFrame], DataFrame]] = {
     "index": _index,
     "nested": _nested,
-    "raster": lambda q, points, edges: raster_join(points, edges, q.canvas_grid(), q.index_grid()),
+    "raster": lambda q, points, edges: pixel_join(points, edges, q.canvas_grid(), q.index_grid()),
     "hybrid": lambda q, points, edges: hybrid_join(points, edges, q.canvas_grid()),
 }
 
