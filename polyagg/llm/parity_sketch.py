@@ -15,9 +15,12 @@ from polyagg.llm.rolling import LOWER, Runs, mix, words
 
 BATCH = 2_000_000
 SHINGLE = 5
-#: Blocks of a band that are compared, the most documents whose pairs in one block are listed, bits of a sketch, and the
-#: share of a document's blocks that must be common for it to be compared by sketches instead.
-BLOCKS, LISTED, BITS, COMMON = 96, 8, 1024, 0.4
+#: Blocks of a band that are compared, the most documents whose pairs in one block are listed, and bits of a sketch.
+BLOCKS, LISTED, BITS = 96, 8, 1024
+#: The share of a document's blocks of one band that must be common for it to be compared by sketches instead, for sets of
+#: fewer than 64 elements and for others.  A link that no listed block shows agrees in common blocks of its band alone: in
+#: three quarters of them where each element has a block of its own, else in ten or more of 96 (see block_sketches).
+COMMON = 0.5, 0.1
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +56,7 @@ def blocks_of(band: np.ndarray) -> np.ndarray:
 
 def block_sketches(value: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) of the non-empty blocks that are compared: the XOR of the hashes in the block, with band and block.
+    The highest bit of a signature is the lowest of its band, by which the two bands of a text are told apart.
 
     Sets whose symmetric difference has d elements differ in d blocks at most.  Similarity of 0.75 or more allows
     d <= (|A| + |B|) / 7, fewer than the non-empty blocks, so some agree.  Bands of more than BLOCKS blocks compare the first
@@ -74,7 +78,8 @@ def block_sketches(value: np.ndarray, own: np.ndarray, size: np.ndarray) -> tupl
             fresh = np.flatnonzero(np.concatenate([[True], (own[pick][1:] != own[pick][:-1]) | (block[1:] != block[:-1])]))
             parity = np.bitwise_xor.reduceat(h, fresh)
             out_text.append(own[pick[fresh]])
-            out_sig.append(mix(parity + block[fresh] * np.uint64(0x9E3779B97F4A7C15) + b[fresh].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+            sig = mix(parity + block[fresh] * np.uint64(0x9E3779B97F4A7C15) + b[fresh].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            out_sig.append(sig >> np.uint64(1) | b[fresh].astype(np.uint64) << np.uint64(63))
     if not out_text:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     text = np.concatenate(out_text)
@@ -103,11 +108,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other[full] = np.bitwise_xor.reduceat(mix(value * np.uint64(0xD6E8FEB86659FD93)), first[full])
         text, sig = block_sketches(value, own, size)
         cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        odd = np.bincount(text[sig >> np.uint64(63) == 1], minlength=len(texts))
         bits = bit_sketches(value, own, len(texts))
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("text_key"), pa.array(size.astype(np.int32)), pa.array(mix(total + size.astype(np.uint64)).view(np.int64)), pa.array(other.view(np.int64)),
-            pa.array([sig[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([b.tobytes() for b in bits], pa.binary()),
-        ], names=["doc_id", "text_key", "n", "node", "key", "sigs", "bits"])
+            pa.array([sig[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array(odd.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()),
+        ], names=["doc_id", "text_key", "n", "node", "key", "sigs", "odd", "bits"])
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +268,7 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     that more than LISTED nodes share, links inside a component that is already joined are not all listed.
 
     (1) Sets become block sketches and a bit sketch.  (2) Nodes that share a block of LISTED nodes or fewer are paired; bit
-    sketches and then the sets themselves decide.  (3) A node of which more than COMMON of the blocks are shared by more
+    sketches and then the sets themselves decide.  (3) A node of which COMMON of a band's blocks are shared by more
     nodes could agree with another in those alone.  Such nodes are compared inside those blocks, by sketch, with the nodes of
     other components; the nearest are verified and components renewed until nothing that a sketch allows is untested.
     So a group of any number of near copies is joined by a few links for each member, and no link between components is lost.
@@ -274,10 +280,10 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         raise ValueError("blocks and sketches are laid out for a similarity of 0.75 or more")
     space = Workspace(docs.sparkSession, "parity")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    schema = "doc_id long, text_key long, n int, node long, key long, sigs binary, bits binary"
+    schema = "doc_id long, text_key long, n int, node long, key long, sigs binary, odd int, bits binary"
     made = space.stage(rows.mapInArrow(_sketched, schema), "sketched", large=True)
-    first = F.min(F.struct("doc_id", "sigs", "bits")).alias("one")
-    nodes = space.stage(made.where("n > 0").groupBy("node", "key", "n").agg(first, F.min("doc_id").alias("least")).select("node", "n", "least", "one.sigs", "one.bits"), "nodes", large=True)
+    first = F.min(F.struct("doc_id", "sigs", "odd", "bits")).alias("one")
+    nodes = space.stage(made.where("n > 0").groupBy("node", "key", "n").agg(first, F.min("doc_id").alias("least")).select("node", "n", "least", "one.sigs", "one.odd", "one.bits"), "nodes", large=True)
 
     blocks = nodes.select("node", "n", "sigs").mapInArrow(_exploded, "sig long, node long, n int")
     met = blocks.repartition("sig").sortWithinPartitions("sig").mapInArrow(_collisions, "sig long, a long, b long")
@@ -288,9 +294,12 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     near = space.stage(near.mapInArrow(_near, "a long, b long"), "near")
 
     common = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("node")).distinct()
-    heavy = common.groupBy("node").count().join(nodes, "node").where(F.col("count") > COMMON * F.octet_length("sigs") / 8).select("node", "n", "bits")
+    # by band: sets near a power of two have blocks of two, and a link may agree in those of one alone
+    common = common.withColumn("is_odd", F.col("sig") < 0)
+    filled = F.when(F.col("is_odd"), F.col("odd")).otherwise(F.octet_length("sigs") / 8 - F.col("odd"))
+    heavy = common.groupBy("node", "is_odd").count().join(nodes, "node").where(F.col("count") >= F.when(F.col("n") < 64, COMMON[0]).otherwise(COMMON[1]) * filled).select("node", "is_odd", "n", "bits")
     # half of 96 blocks fail to show a pair with a chance of 1e-9; sets under 64 elements keep all
-    crowd = common.join(heavy, "node").where("n < 64 OR sig & 1 = 0")
+    crowd = common.join(heavy, ["node", "is_odd"]).drop("is_odd").where("n < 64 OR sig & 1 = 0")
     # blocks of one family of near copies have few smallest nodes: dealt by that, a quarter each, they name a pair but a few times
     family = crowd.groupBy("sig").agg(F.min("node").alias("_least")).select("sig", F.xxhash64("_least", F.pmod(F.shiftright("sig", 4), F.lit(4))).alias("family"))
     crowd = space.stage(crowd.join(family, "sig"), "crowd")

@@ -66,6 +66,28 @@ def test_against_brute_force(spark, seed):
     assert got == want, ((got - want).most_common(5), (want - got).most_common(5))
 
 
+def across_bands(seed):
+    """Families of 8 to 12 sets just under and over a power of two: chains of shingles, some with a word or more added."""
+    rng = random.Random(seed)
+    docs = [(0, "a b c d e f g"), *((i, f"a b c d e f g x{i}") for i in range(1, 9))]
+    for k in (2, 3, 4, 5, 6, 7):
+        for members in range(8, 13):
+            own = [f"k{k}m{members}n{i}" for i in range(2**k + 3)]
+            more = max(1, 2**k // 5)
+            for i in range(members):
+                tail = [f"t{rng.randrange(10**9)}" for _ in range(more)]
+                docs.append((len(docs), " ".join(own if not i else own + tail)))
+    return docs
+
+
+def test_families_across_bands(spark):
+    docs = across_bands(3)
+    out = similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute(docs)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in out)
+    assert got == want, ((got - want).most_common(5), (want - got).most_common(5))
+
+
 def test_empty(spark):
     assert similar_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     out = similar_components(spark.createDataFrame([(1, None), (2, ""), (2, " "), (None, "a")], "doc_id long, text string")).collect()
