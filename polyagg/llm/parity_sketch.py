@@ -17,6 +17,8 @@ BATCH = 2_000_000
 SHINGLE = 5
 #: Blocks of a band that are compared, the most documents whose pairs in one block are listed, and bits of a sketch.
 BLOCKS, LISTED, BITS = 96, 8, 1024
+#: Sets, and elements of sets, that make a part of a component when its links are counted.
+PART_SETS, PART_ELEMENTS = 512, 1_000_000
 #: The share of a document's blocks of one band that must be common for it to be compared by sketches instead, for sets of
 #: fewer than 64 elements and for others.  A link that no listed block shows agrees in common blocks of its band alone: in
 #: three quarters of them where each element has a block of its own, else in ten or more of 96 (see block_sketches).
@@ -258,20 +260,66 @@ def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.bool_())], names=["a", "b", "more"])
 
 
+def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, low, high, part, node, set) sorted by the first three: how many links each node has with nodes of the
+    group's other part, or inside its only one."""
+
+    def group(rows):
+        node, part = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        n = np.array([len(x) for x in sets], np.int64)
+        own = np.repeat(np.arange(len(sets)), n)
+        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(seen[column] > 1)  # others meet in no two sets
+        own, column = own[shared], column[shared]
+        order = np.argsort(column, kind="stable")
+        own, column = own[order], column[order]
+        column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, [at, at + 4096])
+            has = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - at)), np.float32)
+            has[own[a:b], column[a:b] - at] = 1
+            both += has @ has.T
+        both = both.astype(np.int64)
+        linked = 100 * both >= percent * (n[:, None] + n[None] - both)
+        if rows[0][3]:
+            linked &= part[:, None] != part[None]
+        else:
+            np.fill_diagonal(linked, False)
+        return node, linked.sum(1)
+
+    def counted(rows):
+        node, count = group(rows)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(count.astype(np.int64))], names=["node", "n_links"])
+
+    held, name = [], None
+    for batch in batches:
+        for root, low, high, *row in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "node", "part", "set")), strict=True):
+            if (root, low, high) != name:
+                if held:
+                    yield counted(held)
+                held, name = [], (root, low, high)
+            held.append((*row, low != high))
+    if held:
+        yield counted(held)
+
+
 def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, text_key (the text's checksum), n_shingles, node, root, component_id, n_links for each row of docs.
 
     A text's set is its distinct shingles of 5 words (runs of bytes other than ASCII white space, A-Z lower-cased), of
     fewer words all of them as one; rows of equal sets are one node, the class.  Nodes are linked when 100 * intersection
     >= percent * union, percent 75 or more.  root is the component's smallest node and component_id the smallest doc_id reached by links; texts without words
-    (null, empty) have no set and are linked with nothing.  n_links counts the verified links of the class; in blocks
-    that more than LISTED nodes share, links inside a component that is already joined are not all listed.
+    (null, empty) have no set and are linked with nothing.  n_links is how many other classes the class is linked with.
 
     (1) Sets become block sketches and a bit sketch.  (2) Nodes that share a block of LISTED nodes or fewer are paired; bit
     sketches and then the sets themselves decide.  (3) A node of which COMMON of a band's blocks are shared by more
     nodes could agree with another in those alone.  Such nodes are compared inside those blocks, by sketch, with the nodes of
     other components; the nearest are verified and components renewed until nothing that a sketch allows is untested.
     So a group of any number of near copies is joined by a few links for each member, and no link between components is lost.
+    (4) The links of such nodes among each other are counted, not listed: each component's are dealt to parts of bounded size,
+    and every two parts are compared by the sets themselves.  All other links were listed in (2).
 
     Rows of equal ids are rows of their own; a null id counts as larger than any other; an empty table gives no rows; other
     columns are left out.
@@ -342,7 +390,19 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
             links = links.unionByName(new)
             roots = space.stage(components(links, space, 2), "roots")
     roots = components(links, space)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = space.stage(roots, "roots")
+    dense = space.stage(crowd.select("node").distinct().join(roots, "node").join(nodes.select("node", "n"), "node"), "dense")
+    many = dense.groupBy("root").agg(F.greatest(F.ceil(F.count("n") / PART_SETS), F.ceil(F.sum(F.col("n").cast("long")) / PART_ELEMENTS)).cast("int").alias("parts"))
+    dealt = dense.join(many, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(37)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    dealt = dealt.select("root", "low", "high", "part", "node").join(sets, "node")
+    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    inner = dealt.mapInArrow(lambda x: _degrees(percent, x), "node long, n_links long")
+    # of the listed links, those of two such nodes are among the counted
+    in_crowd = dense.select(F.col("node").alias("b")).withColumn("both", F.lit(1))
+    listed = links.join(dense.select(F.col("node").alias("a")).withColumn("one", F.lit(1)), "a", "left").join(in_crowd, "b", "left").where("one IS NULL OR both IS NULL")
+    ends = listed.select(F.explode(F.array("a", "b")).alias("node")).withColumn("n_links", F.lit(1).cast("long"))
+    degree = ends.unionByName(inner).groupBy("node").agg(F.sum("n_links").alias("n_links"))
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = labelled.join(smallest, "root").join(degree, "node", "left").select("node", "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

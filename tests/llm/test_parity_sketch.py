@@ -8,6 +8,7 @@ import pytest
 
 sys.path.insert(0, __file__.rpartition("/")[0])
 from brute import rows
+from polyagg.llm import parity_sketch
 from polyagg.llm.components import components
 from polyagg.llm.common import Workspace
 from polyagg.llm.parity_sketch import BITS, bit_sketches, shingle_sets, similar_components
@@ -88,6 +89,31 @@ def test_families_across_bands(spark):
     assert got == want, ((got - want).most_common(5), (want - got).most_common(5))
 
 
+def degrees(docs, percent=75):
+    """(doc_id, n_links) of each row, by all pairs of distinct sets."""
+    keys = list({shingles(t) for _, t in docs} - {frozenset()})
+    count = Counter()
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if 100 * len(a & b) >= percent * len(a | b):
+                count[a] += 1
+                count[b] += 1
+    return Counter((d, count[shingles(t)]) for d, t in docs)
+
+
+def test_links_are_counted(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(500)]
+    texts = [*family(rng, vocab, 60, 150, 8), *family(rng, vocab, 40, 600, 25), *family(rng, vocab, 25, 7, 1), *family(rng, vocab, 12, 30, 2), *family(rng, vocab, 5, 40, 1), "", "a"]
+    docs = [*enumerate(texts), (900, texts[0]), *((1000 + d, t) for d, t in across_bands(4)[:30])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = degrees(docs)
+    for part in (512, 7):
+        monkeypatch.setattr(parity_sketch, "PART_SETS", part)
+        got = Counter((r.doc_id, r.n_links) for r in similar_components(df).collect())
+        assert got == want, (part, (got - want).most_common(5), (want - got).most_common(5))
+
+
 def test_empty(spark):
     assert similar_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     out = similar_components(spark.createDataFrame([(1, None), (2, ""), (2, " "), (None, "a")], "doc_id long, text string")).collect()
