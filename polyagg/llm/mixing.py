@@ -110,54 +110,82 @@ def membership(docs: DataFrame, model: NaiveBayes | None, domains: list[str], ke
 
 
 class Rates:
-    """Rates r >= 0 that bring sum(r * tokens * member) to the targets: projected gradient descent, with momentum, on
+    """Rates r >= 0 that bring sum(r * tokens * member) to the targets: the least of
 
         1/2 * sum over domains of (share - target)^2 / target + ridge/2 * mean over tokens of (r - 1)^2.
 
-    The gradient of a document's rate, for each of its tokens, depends on its membership alone, so a rate is a function of
-    the membership: the descent is the list of the domains' errors so far, which any row can replay.
+    There r = max(0, 1 - member . error / ridge), where a domain's error is (share - target) / target, so a rate is a function of
+    the membership and of one number for each domain.
     """
 
-    def __init__(self, targets: list[float], ridge: float, step: float):
-        self.targets, self.ridge, self.step, self.errors = targets, ridge, step, []
+    def __init__(self, targets: list[float], ridge: float, errors: list[float]):
+        self.targets, self.ridge, self.errors = targets, ridge, errors
 
-    def _replayed(self) -> str:
-        """SQL: (r, y) after all errors so far; y is where the next gradient is taken."""
-        moves = [(i / (i + 3), e) for i, e in enumerate(self.errors)]
-        # an error is (share - target) / target; each move: r' = max(0, y - step * (member . error + ridge * (y - 1))), y' = r' + b * (r' - r)
-        steps = json.dumps([[b, *e] for b, e in moves])
-        dot = " + ".join(f"member[{k}] * m[{k + 1}]" for k in range(len(self.targets)))
-        new = f"greatest(0D, s.y - {self.step}D * ({dot} + {self.ridge}D * (s.y - 1D)))"
-        move = f"transform(array({new}), q -> named_struct('r', q, 'y', q + m[0] * (q - s.r)))[0]"
-        return f"aggregate(from_json('{steps}', 'array<array<double>>'), named_struct('r', 1D, 'y', 1D), (s, m) -> {move})"
+    def at(self, errors: list[float]) -> Column:
+        dot = " + ".join(f"member[{k}] * {float(e)!r}D" for k, e in enumerate(errors))
+        return F.expr(f"greatest(0D, 1D - ({dot}) / {self.ridge!r}D)")
 
     def rate(self) -> Column:
-        return F.expr(f"({self._replayed()}).r")
+        return self.at(self.errors)
 
-    def probe(self) -> Column:
-        return F.expr(self._replayed())
 
+def solved(a: list[list[float]], b: list[float]) -> list[float]:
+    """x of a x = b, for a positive definite matrix, by elimination."""
+    rows, n = [[*r, v] for r, v in zip(a, b, strict=True)], len(b)
+    for i in range(n):
+        for k in range(i + 1, n):
+            f = rows[k][i] / rows[i][i]
+            rows[k] = [x - f * y for x, y in zip(rows[k], rows[i], strict=True)]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (rows[i][n] - sum(rows[i][k] * x[k] for k in range(i + 1, n))) / rows[i][i]
+    return x
 
-def fit_rates(cells: DataFrame, targets: list[float], ridge: float = 0.001, tolerance: float = 0.01, most: int = 30) -> Rates:
-    """Fit on cells (member, tokens): one row for each membership that occurs, so at most as many as the grid has points."""
+
+def fit_rates(cells: DataFrame, targets: list[float], ridge: float = 0.001, tolerance: float = 1e-7, most: int = 1000) -> Rates:
+    """Fit on cells (member, tokens): one row for each membership that occurs, so at most as many as the grid has points.
+
+    Newton's method for the domains' errors, which are where a convex function has its least value; a step that does not lower it
+    enough is halved.  It ends when the rates' shares are those of the errors to `tolerance` of the targets; `most` steps are
+    a guard that a piecewise quadratic function does not reach.
+    """
     n = len(targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    gram = [F.sum(F.col("tokens") * F.col("member")[i] * F.col("member")[j]) for i in range(n) for j in range(n)]
-    g = [x / total for x in cells.agg(*gram).first()] if total else [0.0] * n * n
-    weight = [1 / max(t, 1e-4) for t in targets]
-    largest = max(sum(abs(g[i * n + j]) * math.sqrt(weight[i] * weight[j]) for j in range(n)) for i in range(n))  # bounds the largest eigenvalue
-    rates = Rates(targets, ridge, 1 / (largest + ridge))
+    weigh = [max(t, 1e-4) for t in targets]
+    rates = Rates(targets, ridge, [0.0] * n)
     if not total:
         return rates
+    mass = [F.col("tokens") * F.col("member")[k] for k in range(n)]
+    pairs = [(i, k) for i in range(n) for k in range(i, n)]
+
+    def look(errors):
+        """The function's value, slope and curvature."""
+        r = rates.at(errors)
+        live = F.when(r > 0, 1.0).otherwise(0.0)
+        bend = [F.sum(live * mass[i] * F.col("member")[k]) for i, k in pairs]
+        row = cells.agg(F.sum(F.col("tokens") * r * r), *(F.sum(r * m) for m in mass), *bend).first()
+        value = sum(w * e * e / 2 + t * e for w, t, e in zip(weigh, targets, errors, strict=True)) + ridge / 2 * row[0] / total
+        slope = [w * e + t - row[1 + k] / total for k, (w, t, e) in enumerate(zip(weigh, targets, errors, strict=True))]
+        curve = [[0.0] * n for _ in range(n)]
+        for (i, k), x in zip(pairs, row[1 + n :], strict=True):
+            curve[i][k] = curve[k][i] = x / total / ridge + (weigh[i] if i == k else 0.0)
+        return value, slope, curve
+
+    value, slope, curve = look(rates.errors)
     for _ in range(most):
-        at = cells.select("tokens", "member", rates.probe().alias("s"))
-        sums = at.agg(*(F.sum(F.col("tokens") * F.col(v) * F.col("member")[k]) for v in ("s.y", "s.r") for k in range(n))).first()
-        error = [(sums[k] / total - targets[k]) * weight[k] for k in range(n)]
-        settled = max(abs(sums[n + k] / total - targets[k]) * weight[k] for k in range(n))
-        change = max(abs(a - b) for a, b in zip(error, rates.errors[-1], strict=True)) if rates.errors else 1
-        if rates.errors and (settled < tolerance or change < tolerance / 100):
+        if max(abs(x) / w for x, w in zip(slope, weigh, strict=True)) < tolerance:
             break
-        rates.errors.append(error)
+        step, part = solved(curve, slope), 1.0
+        fall = sum(a * b for a, b in zip(step, slope, strict=True))
+        while True:
+            tried = [e - part * x for e, x in zip(rates.errors, step, strict=True)]
+            found = look(tried)
+            if found[0] <= value - 1e-4 * part * fall or part < 1e-6:
+                break
+            part /= 2
+        if part < 1e-6:
+            break  # no lower value can be told in double precision
+        rates.errors, (value, slope, curve) = tried, found
     return rates
 
 

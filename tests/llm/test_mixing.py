@@ -49,6 +49,21 @@ def test_rates_against_plain_descent(spark):
         assert np.abs(got - brute(member, tokens, np.array(targets), 0.02)).max() < 0.02
 
 
+def test_defaults_settle(spark):
+    """Weakly separated memberships with a target that they hardly reach."""
+    rng = np.random.default_rng(2)
+    member = rng.dirichlet([40.0, 6.0, 4.0], 300)
+    tokens = rng.integers(1, 1000, 300).astype(float)
+    cells = spark.createDataFrame([(m.tolist(), float(t)) for m, t in zip(member, tokens)], "member array<double>, tokens double")
+    now = (tokens[:, None] * member).sum(0) / tokens.sum()
+    for targets in (now * [1, 1, 0.2], np.array([0.8, 0.15, 0.05])):
+        got = np.array([r[0] for r in cells.select(fit_rates(cells, targets.tolist()).rate()).collect()])
+        error = ((got * tokens) @ member / tokens.sum() - targets) / targets
+        # at the least value each rate is the one that the errors call for
+        assert np.abs(got - np.maximum(0, 1 - member @ error / 0.001)).max() < 0.01, error
+        assert np.abs(got - brute(member, tokens, targets, 0.001)).max() < 0.02
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, rate string"
     none = spark.createDataFrame([], "doc_id long, domain string")
