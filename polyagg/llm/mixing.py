@@ -96,17 +96,22 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], spac
     return model
 
 
+def in_steps(exact: str) -> str:
+    """SQL: posteriors rounded to steps of 1 / GRID that add up to 1, the steps left over to the largest remainders (equal
+    ones: the last), so that no domain gains by rounding."""
+    cut = f"transform({exact}, x -> named_struct('whole', floor(x * {GRID}), 'rest', x * {GRID} - floor(x * {GRID})))"
+    ahead = "size(filter(c, (y, j) -> y.rest > x.rest OR (y.rest = x.rest AND j > i)))"
+    return f"transform(array({cut}), c -> transform(c, (x, i) -> (x.whole + IF({ahead} < {GRID} - aggregate(c, 0L, (s, y) -> s + y.whole), 1, 0)) / {GRID}D))[0]"
+
+
 def membership(docs: DataFrame, model: NaiveBayes | None, domains: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in keep, n_tokens and member, the posteriors of the domains in steps of 1 / GRID, adding up to 1."""
     rows = docs.select("doc_id", *keep, words("text").alias("_all")).withColumn("_words", word_buckets("_all"))
-    n = len(domains)
     if model is None:
-        exact = rows.withColumn("_exact", F.expr(f"array_repeat({1 / n}D, {n})"))
+        exact = rows.withColumn("_exact", F.expr(f"array_repeat({1 / len(domains)}D, {len(domains)})"))
     else:
         exact = rows.withColumn("_scores", F.expr(model.scores("_words"))).withColumn("_exact", F.expr(model.posteriors("_scores", "_words")))
-    steps = f"transform(slice(_exact, 1, {n - 1}), x -> floor(x * {GRID}) / {GRID}D)"
-    member = F.expr(f"transform(array({steps}), s -> concat(s, array(1D - aggregate(s, 0D, (a, x) -> a + x))))[0]")
-    return exact.select("doc_id", *keep, F.size("_all").cast("long").alias("n_tokens"), member.alias("member"))
+    return exact.select("doc_id", *keep, F.size("_all").cast("long").alias("n_tokens"), F.expr(in_steps("_exact")).alias("member"))
 
 
 class Rates:

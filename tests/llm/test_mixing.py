@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from polyagg.llm.mixing import fit_rates, mix, quality_domains
+from polyagg.llm.mixing import fit_rates, in_steps, mix, quality_domains
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.1"
@@ -64,6 +64,15 @@ def test_defaults_settle(spark):
         assert np.abs(got - brute(member, tokens, targets, 0.001)).max() < 0.02
 
 
+def test_steps_favour_no_domain(spark):
+    rng = np.random.default_rng(4)
+    exact = np.concatenate([[[1.0, 0.0, 0.0], [0.9988, 0.0006, 0.0006], [1 / 3] * 3], rng.dirichlet([3.0, 0.5, 0.2], 2000)])
+    df = spark.createDataFrame([(e.tolist(),) for e in exact], "e array<double>")
+    got = np.array([r[0] for r in df.select(F.expr(in_steps("e"))).collect()])
+    assert (got[:2] == [1, 0, 0]).all() and (got.sum(1) == 1).all() and (got * 256 % 1 == 0).all()
+    assert np.abs(got - exact).max() < 1 / 256 and np.abs((got - exact).mean(0)).max() < 0.0005
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, rate string"
     none = spark.createDataFrame([], "doc_id long, domain string")
