@@ -8,9 +8,11 @@ os.environ.setdefault("TZ", "UTC")
 
 @pytest.fixture(scope="session")
 def spark():
+    # tables here are tiny: most of the time would go into compiling plans and starting tasks
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
         .getOrCreate()
     )
