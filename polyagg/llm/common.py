@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -20,10 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, as in tests, a folder of this run."""
+    """The cluster's shared folder (spark.checkpoint.dir).  Where that is unset and Spark runs in one process, as in tests, a
+    folder of this run; on a cluster that is an error, as its machines do not share their own folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not in_one_process(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = f"file://{tempfile.mkdtemp(prefix='polyagg-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,7 +54,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/polyagg-{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
+        atexit.register(self._end)
 
     def stage(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
         """df as a table; large: what Spark shuffled to make it should go at once."""
@@ -57,17 +66,21 @@ class Workspace:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
-        try:
-            for path in [f.rpartition("/")[0] for df in frames for f in df.inputFiles()[:1]] if frames else [self.root]:
-                delete_path(self.spark, path)
-        except Exception:  # noqa: BLE001  at exit the JVM may be gone; the folder is then the cluster's to clean
-            pass
+        """Delete the tables behind frames that stage() has returned."""
+        for df in frames:
+            for f in df.inputFiles()[:1]:
+                delete_path(self.spark, f.rpartition("/")[0])
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # at exit the JVM may be gone; the folder is then the cluster's to clean
+            delete_path(self.spark, self.root)
 
 
 def release(spark: SparkSession, times: int = 1) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps now, not at some later garbage collection.  What
-    Python lets go reaches the JVM's collector by way of the gateway, and its cleaner a little later, so once may not do."""
-    for i in range(times):
+    Python lets go reaches the JVM's collector by way of the gateway, and its cleaner a little later, so once may not do.
+    Where Spark is one process, they go when that ends."""
+    for i in range(0 if in_one_process(spark) else times):
         gc.collect()
         spark._jvm.System.gc()
         if i + 1 < times:

@@ -19,10 +19,9 @@ SHINGLE = 5
 BLOCKS, LISTED, BITS = 96, 8, 1024
 #: Sets, and elements of sets, that make a part of a component when its links are counted.
 PART_SETS, PART_ELEMENTS = 512, 1_000_000
-#: The share of a document's blocks of one band that must be common for it to be compared by sketches instead, for sets of
-#: fewer than 64 elements and for others.  A link that no listed block shows agrees in common blocks of its band alone: in
-#: three quarters of them where each element has a block of its own, else in ten or more of 96 (see block_sketches).
-COMMON = 0.5, 0.1
+#: The share of a large set's compared blocks of one band that must be common for it to be compared by sketches: a link that no
+#: listed block shows agrees in common blocks of its band alone, ten or more of 96 (see block_sketches).
+COMMON = 0.1
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,13 +55,13 @@ def blocks_of(band: np.ndarray) -> np.ndarray:
     return np.where(band < 6, 65536, np.maximum(96, 3 << np.maximum(band - 2, 0)))
 
 
-def block_sketches(value: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_sketches(value: np.ndarray, own: np.ndarray, size: np.ndarray, blocks: int | None = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) of the non-empty blocks that are compared: the XOR of the hashes in the block, with band and block.
     The highest bit of a signature is the lowest of its band, by which the two bands of a text are told apart.
 
     Sets whose symmetric difference has d elements differ in d blocks at most.  Similarity of 0.75 or more allows
-    d <= (|A| + |B|) / 7, fewer than the non-empty blocks, so some agree.  Bands of more than BLOCKS blocks compare the first
-    BLOCKS: hashes deal elements to blocks at random, so a block agrees and is not empty with a chance of 0.37 or more, and
+    d <= (|A| + |B|) / 7 <= |A| / 3, fewer than the non-empty blocks, so at least those less |A| / 3 agree.  Of sets of 64
+    elements or more the first `blocks` blocks are compared, None: all.  Of 96, hashes deal elements to blocks at random, so a block agrees and is not empty with a chance of 0.37 or more, and
     all of 96 fail with one below 1e-18; ten or more agree but with one of about 1e-9.
     """
     out_text, out_sig = [], []
@@ -72,7 +71,7 @@ def block_sketches(value: np.ndarray, own: np.ndarray, size: np.ndarray) -> tupl
         b = band[own[pick]] - shift
         h = mix(value[pick] ^ np.uint64(0x2545F4914F6CDD1D))
         block = ((h >> np.uint64(32)) * blocks_of(b).astype(np.uint64)) >> np.uint64(32)
-        taken = np.flatnonzero((block < BLOCKS) | (b < 6))
+        taken = np.flatnonzero((block < (blocks or 1 << 32)) | (b < 6))
         pick, block, b, h = pick[taken], block[taken], b[taken], h[taken]
         order = np.lexsort((block, own[pick]))
         pick, block, b, h = pick[order], block[order], b[order], h[order]
@@ -97,7 +96,7 @@ def bit_sketches(value: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(odd.reshape(texts, BITS), axis=1)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(blocks: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text", BATCH):
         texts = texts_as_bytes(batch.column("text"))
         value, first = shingle_sets(texts)
@@ -108,7 +107,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(full):
             total[full] = np.add.reduceat(mix(value), first[full])
             other[full] = np.bitwise_xor.reduceat(mix(value * np.uint64(0xD6E8FEB86659FD93)), first[full])
-        text, sig = block_sketches(value, own, size)
+        text, sig = block_sketches(value, own, size, blocks)
         cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
         odd = np.bincount(text[sig >> np.uint64(63) == 1], minlength=len(texts))
         bits = bit_sketches(value, own, len(texts))
@@ -209,20 +208,16 @@ def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     """Rows (sig, node, n, root, bits) sorted by sig: of each block, for each node outside its most frequent component, the
     `top` nearest by sketch among those in that component, and among those in none of the two; more: whether there were others."""
 
-    def group(rows):
+    def group(rows) -> pa.RecordBatch:
         node, n, root = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:3])
-        node, place = np.unique(node, return_index=True)
-        n, root = n[place], root[place]
         values, where, counts = np.unique(root, return_inverse=True, return_counts=True)
-        if len(values) == 1:
-            return []
-        bits = np.frombuffer(b"".join(rows[i][3] for i in place.tolist()), np.uint64).reshape(-1, BITS // 64)
+        bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(-1, BITS // 64)
         main = where == counts.argmax()
-        out = []
+        a, b, further = [], [], []
         outside = np.flatnonzero(~main)
         for at in range(0, len(outside), 64):
             own = outside[at : at + 64]
-            far = np.empty((len(own), len(node)))
+            far = np.empty((len(own), len(node)), np.float32)
             for k in range(0, len(node), 4096):
                 far[:, k : k + 4096] = np.bitwise_count(bits[own, None] ^ bits[None, k : k + 4096]).sum(2)
             both = n[own, None] + n[None]
@@ -231,33 +226,23 @@ def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 cut = np.where(among[None], far, np.inf)
                 k = min(top, cut.shape[1])
                 best = np.argpartition(cut, k - 1, 1)[:, :k]
-                good = np.take_along_axis(cut, best, 1) < np.inf
-                more = (cut < np.inf).sum(1) > k
-                for o, b, g, m in zip(own.tolist(), best, good, more.tolist(), strict=True):
-                    out += [(min(node[o], node[j]), max(node[o], node[j]), m) for j in b[g].tolist()]
-        return out
-
-    held, name, out, seen = [], None, [], {}
-
-    def fresh(rows):
-        """Groups that a family shares name mostly the same pairs."""
-        if len(seen) > 1_000_000:
-            seen.clear()
-        for a, b, m in rows:
-            if seen.get((a, b), -1) < m:
-                seen[a, b] = m
-                out.append((a, b, m))
+                i, j = np.nonzero(np.take_along_axis(cut, best, 1) < np.inf)
+                a.append(node[own[i]])
+                b.append(node[best[i, j]])
+                further.append(((cut < np.inf).sum(1) > k)[i])
+        a, b, further = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, further))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(further.astype(bool))], names=["a", "b", "more"])
 
+    held, name = [], None
     for batch in batches:
         for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "node", "n", "root", "bits")), strict=True):
             if sig != name:
-                fresh(group(held) if held else [])
+                if held:
+                    yield group(held)
                 held, name = [], sig
             held.append(row)
-    fresh(group(held) if held else [])
-    if out:
-        a, b, m = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.bool_())], names=["a", "b", "more"])
+    if held:
+        yield group(held)
 
 
 def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,31 +290,35 @@ def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield counted(held)
 
 
-def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, text_key (the text's checksum), n_shingles, node, root, component_id, n_links for each row of docs.
+def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None = BLOCKS) -> DataFrame:
+    """doc_id, text_key (the text's checksum), n_shingles, node, class_id, root, component_id, n_links for each row of docs.
 
     A text's set is its distinct shingles of 5 words (runs of bytes other than ASCII white space, A-Z lower-cased), of
     fewer words all of them as one; rows of equal sets are one node, the class.  Nodes are linked when 100 * intersection
-    >= percent * union, percent 75 or more.  root is the component's smallest node and component_id the smallest doc_id reached by links; texts without words
-    (null, empty) have no set and are linked with nothing.  n_links is how many other classes the class is linked with.
+    >= percent * union, percent 75 or more.  class_id is the smallest doc_id of the class, root the component's smallest node and
+    component_id the smallest doc_id reached by links; texts without words (null, empty) have no set, no class, and are linked with
+    nothing.  n_links is how many other classes the class is linked with.
 
     (1) Sets become block sketches and a bit sketch.  (2) Nodes that share a block of LISTED nodes or fewer are paired; bit
-    sketches and then the sets themselves decide.  (3) A node of which COMMON of a band's blocks are shared by more
-    nodes could agree with another in those alone.  Such nodes are compared inside those blocks, by sketch, with the nodes of
-    other components; the nearest are verified and components renewed until nothing that a sketch allows is untested.
-    So a group of any number of near copies is joined by a few links for each member, and no link between components is lost.
+    sketches and then the sets themselves decide.  (3) A node could agree with another in blocks alone that more nodes share, if
+    it has as many of those as block_sketches() says.  In each such block, every node is compared with the smallest; then, in blocks
+    that still hold several components, by sketch with the nodes of other components; the nearest are verified and components
+    renewed until nothing that a sketch allows is untested.  So a group of any number of near copies is joined by a few links for
+    each member, and no link between components is lost: with blocks=None by proof, else but for the chances that
+    block_sketches() names.
     (4) The links of such nodes among each other are counted, not listed: each component's are dealt to parts of bounded size,
     and every two parts are compared by the sets themselves.  All other links were listed in (2).
 
-    Rows of equal ids are rows of their own; a null id counts as larger than any other; an empty table gives no rows; other
-    columns are left out.
+    Texts are whole; a long one is hashed part by part, so what a task holds beside it is about four times its size.  Rows of
+    equal ids are rows of their own; a null id counts as larger than any other; an empty table gives no rows; other columns are
+    left out.
     """
     if percent < 75:
         raise ValueError("blocks and sketches are laid out for a similarity of 0.75 or more")
     space = Workspace(docs.sparkSession, "parity")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     schema = "doc_id long, text_key long, n int, node long, key long, sigs binary, odd int, bits binary"
-    made = space.stage(rows.mapInArrow(_sketched, schema), "sketched", large=True)
+    made = space.stage(rows.mapInArrow(lambda b: _sketched(blocks, b), schema), "sketched", large=True)
     first = F.min(F.struct("doc_id", "sigs", "odd", "bits")).alias("one")
     nodes = space.stage(made.where("n > 0").groupBy("node", "key", "n").agg(first, F.min("doc_id").alias("least")).select("node", "n", "least", "one.sigs", "one.odd", "one.bits"), "nodes", large=True)
 
@@ -345,12 +334,13 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     # by band: sets near a power of two have blocks of two, and a link may agree in those of one alone
     common = common.withColumn("is_odd", F.col("sig") < 0)
     filled = F.when(F.col("is_odd"), F.col("odd")).otherwise(F.octet_length("sigs") / 8 - F.col("odd"))
-    heavy = common.groupBy("node", "is_odd").count().join(nodes, "node").where(F.col("count") >= F.when(F.col("n") < 64, COMMON[0]).otherwise(COMMON[1]) * filled).select("node", "is_odd", "n", "bits")
-    # half of 96 blocks fail to show a pair with a chance of 1e-9; sets under 64 elements keep all
-    crowd = common.join(heavy, ["node", "is_odd"]).drop("is_odd").where("n < 64 OR sig & 1 = 0")
-    # blocks of one family of near copies have few smallest nodes: dealt by that, a quarter each, they name a pair but a few times
-    family = crowd.groupBy("sig").agg(F.min("node").alias("_least")).select("sig", F.xxhash64("_least", F.pmod(F.shiftright("sig", 4), F.lit(4))).alias("family"))
-    crowd = space.stage(crowd.join(family, "sig"), "crowd")
+    proven = F.greatest(F.lit(1), filled - F.floor(F.col("n") / 3))
+    enough = F.when(F.col("n") < 64, proven).otherwise(proven if blocks is None else COMMON * filled)
+    heavy = common.groupBy("node", "is_odd").count().join(nodes, "node").where(F.col("count") >= enough).select("node", "is_odd", "n")
+    crowd = common.join(heavy, ["node", "is_odd"]).drop("is_odd")
+    if blocks is not None:  # half of 96 blocks fail to show a pair with a chance of 1e-9; sets under 64 elements keep all
+        crowd = crowd.where("n < 64 OR sig & 1 = 0")
+    crowd = space.stage(crowd, "crowd")
     space.drop(met)
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct()
@@ -366,15 +356,24 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         return space.stage(pairs.select("a", "b", "set_a", "set_b").mapInArrow(lambda x: _similar(percent, x), "a long, b long"), "links")
 
     links, tested, top, part = verified(near), near, 8, 8
+    groups = crowd.count()
+    if groups:
+        # each block's nodes with its smallest: most of a family is one component after that
+        leader = crowd.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("first"))
+        led = crowd.join(leader, "sig").where("node <> first.node AND 4 * least(n, first.n) >= 3 * greatest(n, first.n)")
+        led = led.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+        led = space.stage(led, "led")
+        links, tested = links.unionByName(verified(led)), tested.unionByName(led)
     # between rounds two rounds of contraction do: labels that differ within a component only cost tests
     roots = space.stage(components(links, space, 2), "roots")
-    groups = crowd.count()
     while groups:
-        labelled = crowd.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"), "bits", "family")
+        labelled = space.stage(crowd.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root")), "labelled")
+        several = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
         # an eighth of the blocks joins most of a group; whatever it leaves apart is then compared in all of them
-        some = labelled.where(f"pmod(shiftright(sig, 1), {part}) = 0")
-        pairs = some.repartition("family").sortWithinPartitions("sig").drop("family").mapInArrow(lambda x, t=top: _contenders(t, x), "a long, b long, more boolean")
+        some = labelled.join(several, "sig", "left_semi").where(f"pmod(shiftright(sig, 1), {part}) = 0").join(sketches.select("node", "bits"), "node")
+        pairs = some.repartition("sig").sortWithinPartitions("sig").mapInArrow(lambda x, t=top: _contenders(t, x), "a long, b long, more boolean")
         pairs = space.stage(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "contenders")
+        space.drop(labelled)
         fresh = space.stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
         if fresh.isEmpty():
             if part > 1:
@@ -405,9 +404,9 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     degree = ends.unionByName(inner).groupBy("node").agg(F.sum("n_links").alias("n_links"))
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(smallest, "root").join(degree, "node", "left").select("node", "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    labelled = labelled.join(smallest, "root").join(degree, "node", "left").select("node", F.col("least").alias("class_id"), "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = made.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return out.join(labelled, "node", "left").select("doc_id", "text_key", "n_shingles", "node", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.join(labelled, "node", "left").select("doc_id", "text_key", "n_shingles", "node", "class_id", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -23,7 +23,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = parity_sketch.similar_components(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("node").alias("class_id"), "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

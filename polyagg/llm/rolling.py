@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +12,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+GAP = re.compile(rb"[ \t-\r]")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 _powers: dict[int, np.ndarray] = {}
@@ -56,28 +59,61 @@ class Runs:
 
 @dataclass
 class Words:
-    """The words of a batch of texts: each one's hash, its text (by place) and its bytes in flat."""
+    """The words of a batch of texts: each one's hash and its text (by place)."""
 
-    flat: np.ndarray
     hash: np.ndarray
     text: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
     first: np.ndarray  # each text's first word, and after the last text the number of words
 
 
-def words(texts: list[bytes]) -> Words:
-    """Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return."""
-    raw = b" ".join([b"", *texts, b""])
-    flat = np.frombuffer(raw, np.uint8)
+#: Bytes that are hashed at a time; a text is cut between words.
+PART = 1_000_000
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The place and the hash of each word."""
+    flat = np.frombuffer(b" " + raw + b" ", np.uint8)
     inside = ~SPACE[flat]
     start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])  # text i is flat[bounds[i] + 1 : bounds[i + 1]]
-    first = np.searchsorted(start, bounds + 1)
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
-    return Words(flat, Runs(flat.astype(np.uint64) + np.uint64(1)).of(start, end), text, start, end, first)
+    return start - 1, Runs(flat.astype(np.uint64) + np.uint64(1)).of(start, end)
+
+
+def parts(text: bytes) -> Iterator[bytes]:
+    """A text cut before white space into parts of about PART bytes, or as long as a longer word."""
+    at = 0
+    while len(text) - at > PART:
+        cut = GAP.search(text, at + PART)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def words(texts: list[bytes]) -> Words:
+    """Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return."""
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    held, own, size = [], [], 0
+
+    def done():
+        start, found = _word_hashes(b" ".join(held))
+        bounds = np.cumsum([0, *(len(p) + 1 for p in held)])
+        np.add.at(counts, own, np.diff(np.searchsorted(start, bounds)))
+        hashes.append(found)
+
+    for i, text in enumerate(texts):
+        for part in parts(text):
+            if held and size + len(part) > PART:
+                done()
+                held, own, size = [], [], 0
+            held.append(part)
+            own.append(i)
+            size += len(part)
+    if held:
+        done()
+    first = np.concatenate([[0], np.cumsum(counts)])
+    return Words(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.repeat(np.arange(len(texts)), counts), first)
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -102,8 +138,8 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def minimizer_groups(kmers: np.ndarray, owner: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of `window` items in a row, within one owner, by the k-mer in them with the smallest hash (the first of equals).
+def minimizer_groups(rank: np.ndarray, owner: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of `window` items in a row, within one owner, by the k-mer in them with the smallest rank (below 2^40; the first of equals).
 
     Returns for each such k-mer its place, and the first and last start of the windows that chose it.  The choice depends
     on the window alone, so equal windows, wherever they are, choose the same k-mer at the same offset.
@@ -112,7 +148,7 @@ def minimizer_groups(kmers: np.ndarray, owner: np.ndarray, window: int, k: int)
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none
-    at = leftmost_minima(kmers >> np.uint64(24), window - k + 1)[:n]
+    at = leftmost_minima(rank, window - k + 1)[:n]
     good = np.flatnonzero(owner[:n] == owner[window - 1 :])
     chosen = at[good]
     fresh = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (np.diff(good) != 1)])) if len(good) else np.zeros(0, np.int64)

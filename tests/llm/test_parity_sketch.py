@@ -52,8 +52,7 @@ def family(rng, vocab, n, size, edits):
         yield " ".join(own)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+def test_against_brute_force(spark, seed=2):
     docs = rows(seed, 250)
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(500)]
@@ -89,6 +88,47 @@ def test_families_across_bands(spark):
     assert got == want, ((got - want).most_common(5), (want - got).most_common(5))
 
 
+def wide_families(seed, families, sizes):
+    """Near copies in one band, and one larger set in the next that is similar to all of them: chains of shingles, each copy
+    with a word of its own at the end, the larger set with many more."""
+    rng = random.Random(seed)
+    docs = []
+    for f in range(families):
+        shared, members = rng.choice(sizes), rng.randint(8, 14)
+        base = [f"f{f}n{i}" for i in range(shared + 4)]
+        docs += [(len(docs) + i, " ".join([*base, f"f{f}own{i}"])) for i in range(members)]
+        longest = shared * 4 // 3  # similarity 0.75 at least with a set of `shared` shingles, and a little less beyond
+        docs.append((len(docs), " ".join([*base, *(f"f{f}more{i}" for i in range(rng.randint(0, longest - shared + 1)))])))
+    return docs
+
+
+@pytest.mark.parametrize("blocks", [96, None])
+def test_no_link_is_lost_between_bands(spark, blocks):
+    docs = []
+    for more in (156, 148, 138, 133):  # 14 sets of 119 shingles and one larger set
+        base = [f"m{more}n{i}" for i in range(118 + 4)]
+        docs += [(len(docs) + i, " ".join([*base, f"m{more}own{i}"])) for i in range(14)]
+        docs.append((len(docs), " ".join([*base, *(f"m{more}more{i}" for i in range(more - 118))])))
+    docs += [(d + len(docs), t) for d, t in wide_families(11, 200 if blocks else 40, [6, 11, 13, 24, 28, 48, 60, 63, 100, 119, 125, 127, 200, 250])]
+    out = similar_components(spark.createDataFrame(docs, "doc_id long, text string"), blocks=blocks).collect()
+    want = brute(docs)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in out)
+    assert got == want, ((got - want).most_common(5), (want - got).most_common(5))
+    assert Counter((r.doc_id, r.n_links) for r in out) == degrees(docs)
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    from polyagg.llm import rolling
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(99)}" + rng.choice(["", "\n", " \t"]) for _ in range(rng.choice([0, 3, 400]))).encode() for _ in range(40)] + [b"x" * 500, b" " * 300]
+    whole = rolling.words(texts)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(rolling, "PART", size)
+        cut = rolling.words(texts)
+        assert all((getattr(cut, c) == getattr(whole, c)).all() for c in ("hash", "text", "first"))
+
+
 def degrees(docs, percent=75):
     """(doc_id, n_links) of each row, by all pairs of distinct sets."""
     keys = list({shingles(t) for _, t in docs} - {frozenset()})
