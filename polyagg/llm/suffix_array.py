@@ -102,43 +102,103 @@ def kmer_hashes(raw: bytes) -> np.ndarray:
     return mix(h)
 
 
-def _candidates(least: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def byte_parts(texts: list[bytes], overlap: int, most: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Texts in parts of most + overlap bytes, as many together as hold about `most`: each part's text, its place there, its bytes."""
+    own, offset, parts, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - overlap), most):
+            part = text[at : at + most + overlap]
+            if held and held + len(part) > most:
+                yield np.array(own), np.array(offset), parts
+                own, offset, parts, held = [], [], [], 0
+            own.append(i)
+            offset.append(at)
+            parts.append(part)
+            held += len(part)
+    if parts:
+        yield np.array(own), np.array(offset), parts
+
+
+class Common:
+    """Hashes that come last in the choice of an anchor; nearly all others are told by one look at a table of bits."""
+
+    def __init__(self, hashes: list[int]):
+        self.hashes = np.array(sorted(x & (1 << 64) - 1 for x in hashes), np.uint64)
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.hashes >> np.uint64(44)] = True
+
+    def rank(self, kmers: np.ndarray) -> np.ndarray:
+        """What minimizer_groups() orders by."""
+        rank = kmers >> np.uint64(25)
+        if len(self.hashes):
+            maybe = np.flatnonzero(self.seen[kmers >> np.uint64(44)])
+            place = np.minimum(np.searchsorted(self.hashes, kmers[maybe]), len(self.hashes) - 1)
+            rank[maybe[self.hashes[place] == kmers[maybe]]] |= np.uint64(1 << 39)
+        return rank
+
+
+def _anchored(least: int, common: Common, texts: list[bytes]) -> Iterator[tuple]:
+    """Part by part: each part's text and place; each span's part, hash of its anchor, its own hash, first byte and end."""
+    for own, offset, parts in byte_parts(texts, least - 1):
+        sizes = np.array([len(p) for p in parts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        raw = b"".join(parts)
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+        kmers = kmer_hashes(raw)
+        at, first, last = minimizer_groups(common.rank(kmers), owner, least, K)
+        if len(at):
+            row = owner[at]
+            span = Runs(np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)).of(first, last + least)
+            yield own, offset, row, kmers[at], span, first - begin[row], last + least - begin[row]
+
+
+def _candidates(least: int, buckets: int, common: Common, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchored spans, packed by range of the anchor's hash.  Of equal spans only the smallest doc_id's are sent on: the
     others are covered, which a row of bucket -1 says."""
     for batch in sliced(batches, "text", BATCH):
-        texts = texts_as_bytes(batch.column("text"))
-        sizes = np.array([len(t) for t in texts], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        raw = b"".join(texts)
-        owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-        kmers = kmer_hashes(raw)
-        at, first, last = minimizer_groups(kmers, owner, least, K)
-        if not len(at):
-            continue
-        docs, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
-        row = owner[at]
-        # minimizers have small hashes: mixed again, they spread over all buckets
-        anchor, span = mix(kmers[at] ^ np.uint64(0x2545F4914F6CDD1D)), Runs(np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)).of(first, last + least)
-        first, end = first - begin[row], last + least - begin[row]
-        order = np.lexsort((docs[row], span, anchor))
-        anchor, span, row, first, end = (x[order] for x in (anchor, span, row, first, end))
-        fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])])
-        least_doc = docs[row][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        late = docs[row] > least_doc
-        pack = lambda pick, to: _pack(to, anchor[pick], span[pick], row[pick], docs, keys, first[pick], end[pick])
-        rows = []
-        if late.any():
-            away = np.flatnonzero(late)
-            place = begin[row[away]] + row[away]  # one apart, so that documents' spans do not touch
-            a, b = merged(first[away] + place, end[away] + place)
-            own = np.searchsorted(begin + np.arange(len(begin)), a, "right") - 1
-            shift = begin[own] + own
-            rows.append(_pack(-1, np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64), own, docs, keys, a - shift, b - shift))
-        kept = np.flatnonzero(~late)
-        place = ((anchor[kept] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cuts = np.flatnonzero(np.diff(place)) + 1
-        rows += [pack(own, int(place[i])) for i, own in zip([0, *cuts.tolist()], np.split(kept, cuts), strict=True) if len(own)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "packed"])
+        ids, sums = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
+        for own, offset, row, kmer, span, first, end in _anchored(least, common, texts_as_bytes(batch.column("text"))):
+            docs, keys = ids[own], sums[own]
+            # minimizers have small hashes: mixed again, they spread over all buckets
+            anchor = mix(kmer ^ np.uint64(0x2545F4914F6CDD1D))
+            order = np.lexsort((docs[row], span, anchor))
+            anchor, span, row, first, end = (x[order] for x in (anchor, span, row, first, end))
+            fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])])
+            least_doc = docs[row][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+            late = docs[row] > least_doc
+            rows = []
+            if late.any():
+                away = np.flatnonzero(late)
+                far = 2 * BATCH + least  # so that parts' spans do not touch
+                a, b = merged(first[away] + row[away] * far, end[away] + row[away] * far)
+                part = a // far
+                a, b = (x - part * far + offset[part] for x in (a, b))
+                rows.append(_pack(-1, np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64), part, docs, keys, a, b))
+            kept = np.flatnonzero(~late)
+            place = ((anchor[kept] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cuts = np.flatnonzero(np.diff(place)) + 1
+            for i, pick in zip([0, *cuts.tolist()], np.split(kept, cuts), strict=True):
+                if len(pick):
+                    shift = offset[row[pick]]
+                    rows.append(_pack(int(place[i]), anchor[pick], span[pick], row[pick], docs, keys, first[pick] + shift, end[pick] + shift))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "packed"])
+
+
+def common_anchors(rows: DataFrame, least: int, one_in: int = 32, spans: int = 64, most: int = 1_000_000) -> Common:
+    """Anchors with `spans` or more different spans in one of `one_in` documents (by a hash of the id), but no more than `most`
+    can be: an anchor counts only with a `most`-th of the sample's spans."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = Common([])
+        for batch in sliced(batches, "text", BATCH):
+            for _, _, _, kmer, span, _, _ in _anchored(least, none, texts_as_bytes(batch.column("text"))):
+                yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), pa.array(span.view(np.int64))], names=["anchor", "span"])
+
+    found = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(one_in)) == 0).mapInArrow(seen, "anchor long, span long")
+    counts = found.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n")).groupBy("anchor").agg(F.count(F.lit(1)).alias("spans"), F.sum("n").alias("n"))
+    some = counts.where(F.col("spans") >= spans)
+    total = counts.agg(F.sum("n").alias("total"))
+    return Common([r[0] for r in some.join(F.broadcast(total), F.col("spans") >= F.col("total") / most).select("anchor").collect()])
 
 
 def _pack(bucket: int, anchor, span, row, docs, keys, first, end) -> tuple[int, bytes]:
@@ -230,12 +290,12 @@ def _scan(least: int, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield done()
 
 
-def find_repeats(rows: DataFrame, least: int = 50, bucket_bytes: int = 4_000_000, hot_group: int = 2000, chunk: int = 400_000) -> DataFrame:
+def find_repeats(rows: DataFrame, least: int = 50, bucket_bytes: int = 4_000_000, hot_group: int = 20_000, chunk: int = 400_000) -> DataFrame:
     """Spans (doc_id, text_key, first, end) of keyed() rows' bytes whose every string of `least` bytes also starts in a
     smaller doc_id; their union covers all such strings.
 
-    Only strings that share an anchor, the 16 bytes in them of smallest hash, can be equal, so suffixes are compared
-    within the groups of one anchor: (1) each anchor's span, the union of the strings that chose it, is reduced to hashes;
+    Only strings that share an anchor, the 16 bytes in them of smallest hash, can be equal (16 bytes that common_anchors() finds
+    in many surroundings are anchors only of strings that have no others), so suffixes are compared within the groups of one anchor: (1) each anchor's span, the union of the strings that chose it, is reduced to hashes;
     equal spans, however often they occur, collapse to the first document's, and the later ones are covered whole.
     (2) Spans whose anchor occurs in other surroundings are cut from their texts and sorted into enhanced suffix arrays,
     chunk by chunk of whole groups; the scan of the interval tree gives the maximal repeats with all occurrences.
@@ -246,7 +306,8 @@ def find_repeats(rows: DataFrame, least: int = 50, bucket_bytes: int = 4_000_000
     rows = rows.where("doc_id IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    packed = rows.mapInArrow(lambda b: _candidates(least, buckets, b), "bucket int, packed binary")
+    common = common_anchors(rows, least)
+    packed = rows.mapInArrow(lambda b: _candidates(least, buckets, common, b), "bucket int, packed binary")
     # covered ones (bucket -1) need no company: any bucket they are dealt to passes them on
     dealt = packed.withColumn("_deal", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("packed"), F.lit(4 * buckets)).cast("int")).otherwise(F.col("bucket")))
 
@@ -303,7 +364,7 @@ def dedup_suffixes(docs: DataFrame, least: int = 50) -> DataFrame:
     """Remove each byte covered by a string of `least` bytes that also starts in a document with a smaller doc_id.
 
     Texts are whole, as UTF-8; a null text has no bytes, and matches never cross documents.  Overlaps count; strings are
-    judged on the input.  Rows of equal doc_id do not cover each other, and rows with a null id take no part, but each row
+    judged on the input.  A long text is searched part by part, parts overlapping, so a task holds little beside the text.  Rows of equal doc_id do not cover each other, and rows with a null id take no part, but each row
     is returned.  An empty table gives an empty result.  Other columns are left out.
     """
     rows = keyed(docs)
