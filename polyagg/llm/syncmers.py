@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: A token is a run without white space, of 8 characters at most, so that texts without spaces have tokens too.
 TOKEN = r"\\S{1,8}"
-#: Tokens in a k-mer (its inner substrings are single tokens), and hashes in a fingerprint.
-K, SIZE = 4, 64
+#: Tokens in a k-mer; its inner substrings are single tokens.
+K = 6
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -35,44 +35,42 @@ def anchors_sql(text: str) -> str:
     return let("h", hashes, f"IF(size(h) = 0, {none}, {some})")
 
 
-def sketch_sql(text: str, size: int = SIZE) -> str:
-    """SQL for the fingerprint as ARRAY<INT>: the `size` smallest distinct anchor hashes, ascending.
+def sketch_sql(text: str) -> str:
+    """SQL for the fingerprint as ARRAY<INT>: the chain of all anchors, by place, each link a hash of two anchors in a row and
+    of the tokens between their starts, each different link once.  A text of one anchor has that as its link.
 
-    A threshold that leaves about four times as many spares most texts the sorting of all; where it leaves too few, all
-    are sorted, so the result is the same.
+    A link is found in another text only where the same two anchors follow each other at the same distance, so links
+    match by position, whatever stands before them.
     """
-    top = f"CAST(-2147483648 + 4294967296D * {4 * size} / size(a) AS BIGINT)"
-    few = let("c", top, "array_distinct(filter(a, x -> x < c))")
-    least = f"slice(array_sort(array_distinct(a)), 1, {size})"
-    some = let("d", few, f"IF(size(d) >= {size}, slice(array_sort(d), 1, {size}), {least})")
-    return let("a", f"transform({anchors_sql(text)}, x -> x.hash)", f"IF(size(a) <= {4 * size}, {least}, {some})")
+    link = "CAST(shiftright(xxhash64(a[i - 1].hash, a[i].hash, a[i].at - a[i - 1].at), 32) AS INT)"
+    links = f"array_distinct(transform(sequence(1, size(a) - 1), i -> {link}))"
+    return let("a", anchors_sql(text), f"IF(size(a) < 2, transform(a, x -> x.hash), {links})")
 
 
 def anchors(text: str) -> Column:
     return F.expr(anchors_sql(text))
 
 
-def sketch(text: str, size: int = SIZE) -> Column:
-    return F.expr(sketch_sql(text, size))
+def sketch(text: str) -> Column:
+    return F.expr(sketch_sql(text))
 
 
 def as_text(sketch: str) -> Column:
     return F.expr(f"array_join(transform({sketch}, x -> lpad(hex(x & 4294967295L), 8, '0')), '')")
 
 
-def likeness(a: str, b: str, size: int = SIZE) -> Column:
-    """Of two sketches, 0 to 1: the share of the union's `size` smallest that both have; 1 for two empty ones."""
-    union = f"slice(array_sort(array_union({a}, {b})), 1, {size})"
-    both = let("u", union, f"IF(size(u) = 0, 1D, size(array_intersect(u, array_intersect({a}, {b}))) / CAST(size(u) AS DOUBLE))")
-    return F.expr(both)
+def likeness(a: str, b: str) -> Column:
+    """Of two chains, 0 to 1: the share of their links that both have; 1 for two empty ones."""
+    share = f"IF(size({a}) + size({b}) = 0, 1D, n / CAST(size({a}) + size({b}) - n AS DOUBLE))"
+    return F.expr(let("n", f"size(array_intersect({a}, {b}))", share))
 
 
-def with_next(docs: DataFrame, order: str, text: str, carry, rows_per_range: int = 128, most_ranges: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, order: str, text: str, carry, rows_per_range: int = 128, most_ranges: int = 65536) -> DataFrame:
     """Each row with the columns of carry(docs) and, as next_<column>, those of the row after it (after the last: the first).
 
     Rows go by `order` (nulls first), ties by text.  Quantiles of `order` cut the table into ranges; each range is sorted
     on its own and also gets the first row of the range after it, so that text is shuffled once and no task sees the
-    whole order.  Only the ranges' bounds, most_ranges numbers at most, come to the driver.
+    whole order.  Only the ranges' bounds, most_ranges numbers at most, come to the driver; larger ranges are sorted with spilling.
     """
     n = docs.count()
     ranges = max(1, min(most_ranges, math.ceil(n / rows_per_range)))
@@ -101,7 +99,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness.
 
     Edited: the last floor(n_chars / 2) code points give way to the first as many (or all) of the next row's text.
-    A null text counts as empty; empty texts have the empty fingerprint, which is wholly like itself and not at all like
+    Likeness is that of two chains of anchors, see sketch_sql(); fingerprints grow with their texts (a third of the tokens are
+    anchors).  A null text counts as empty; empty texts have the empty fingerprint, which is wholly like itself and not at all like
     any other.  Rows with equal ids go by text, a null id first; repeated rows follow each other.  A table of one row is
     its own next.  Empty tables give no rows; other columns are left out.
     """
