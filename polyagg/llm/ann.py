@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyagg.llm.common import Workspace
+
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """The k most similar other rows of each row of unit vectors, by brute force in blocks."""
@@ -130,11 +132,18 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
                 yield query_ids[at + r], rank, ids[pick[j]], exact[j]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = 1500, most_parts: int = 96, sample_rows: int = 6000, block_rows: int = 20_000, probes: int | None = None) -> DataFrame:
+def layout(rows: int, sample_rows: int) -> tuple[int, int]:
+    """Parts, and vectors to learn them from: half the root of the rows, and forty a part."""
+    parts = min(max(2, math.ceil(math.sqrt(rows) / 2)), max(2, sample_rows // 40))
+    return parts, min(sample_rows, max(4000, 40 * parts))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int | None = None, sample_rows: int = 20_000, block_rows: int = 20_000, probes: int | None = None) -> DataFrame:
     """Each query's k nearest rows of vectors (vec_id, embedding) by cosine: query_id, rank, vec_id, score.
 
-    A sample of at most sample_rows vectors, those with the smallest hash of their id, is made into a neighbour graph,
-    parted evenly, and a router learns the parts.  Every vector is indexed under its most probable part; a query is
+    A sample of the vectors with the smallest hash of their id, sample_rows at most, is made into a neighbour graph,
+    parted evenly, and a router learns the parts, whose number grows with the root of the rows up to sample_rows / 40 (see layout();
+    a sample of fewer than 40 different vectors is one part).  Every vector is indexed under its most probable part; a query is
     compared, exactly and in double precision, with all vectors of its `probes` most probable parts.  Probes are by
     default the fewest parts that hold 96 % of the sample's own neighbours; with as many as parts, the search is exact.
 
@@ -156,10 +165,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int =
     few = Window.partitionBy("embedding").orderBy("vec_id")
     vectors = vectors.withColumn("_nth", F.row_number().over(few)).where(f"_nth <= {k + 1}").drop("_nth")
 
-    parts = max(1, min(most_parts, rows // part_rows))
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()
+    vectors = Workspace(vectors.sparkSession, "vectors").stage(vectors, "vectors", large=True)
+    wanted, size = layout(rows, sample_rows)
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("embedding").collect()
     unique = np.unique(np.array([r.embedding for r in sample], np.float64), axis=0)
-    router, many = learn(unique, min(parts, max(1, len(unique) // 20)))
+    router, many = learn(unique, min(parts or wanted, max(1, len(unique) // 20)))
     many = min(probes or many, len(router.w["bb"]))
 
     def routed(df: DataFrame, count: int) -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from polyagg.llm.ann import search
+from polyagg.llm.ann import layout, search
 from pyspark.sql import functions as F
 
 
@@ -28,7 +28,8 @@ def test_recall(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
     ids, x = [r.vec_id for r in rows], [r.embedding for r in rows]
-    out = search(df, df.where("vec_id % 50 = 0"), part_rows=100).collect()
+    assert layout(len(rows), 20_000)[0] > 10  # as the query has it: parts are learned at this size too
+    out = search(df, df.where("vec_id % 50 = 0")).collect()
     got, recall = compare(out, brute(ids, x, [i for i in ids if i % 50 == 0]))
     assert recall >= 0.9 and all(len(v) == 5 for v in got.values()), recall
     norm = {i: np.asarray(v, np.float64) / np.linalg.norm(np.asarray(v, np.float64)) for i, v in zip(ids, x, strict=True)}
@@ -41,13 +42,18 @@ def test_odd_rows_and_copies(spark):
     good += [(i, good[3][1], 0) for i in range(300, 340)]
     bad = [(400, None, 0), (450, [0.0] * 8, 0), (500, [1.0, None] + [1.0] * 6, 0), (550, [float("nan")] + [1.0] * 7, 0), (600, [float("inf")] * 8, 0), (650, [1.0], 0), (None, [1.0] * 8, 0)]
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<float>, score int")
-    out = search(df, df.where("vec_id % 50 = 0"), block_rows=50, probes=99, part_rows=40).collect()
+    out = search(df, df.where("vec_id % 50 = 0"), block_rows=50, probes=99, parts=5).collect()
     want = brute([r[0] for r in good], [r[1] for r in good], [r[0] for r in good if r[0] % 50 == 0])
     got, recall = compare(out, want)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     assert got[300][0][0] == 3
 
 
+def test_parts_grow_with_the_table():
+    parts = [layout(n, 20_000) for n in (10, 500, 2_000, 25_000, 1_000_000, 10**10)]
+    assert [p for p, _ in parts] == [2, 12, 23, 80, 500, 500] and all(40 * p <= n <= 20_000 for p, n in parts)
+
+
 def test_small_tables(spark):
     schema = "vec_id long, embedding array<float>"
     none = spark.createDataFrame([], schema)
