@@ -33,6 +33,22 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, owner, used
 
 
+def pieces(texts: list[bytes], most: int = 1000) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Texts in parts of `most` windows at most, as many together as hold about that many; windows are those of the whole text."""
+    own, parts, held = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - (WINDOW - STRIDE)), most * STRIDE):
+            part = text[at : at + (most - 1) * STRIDE + WINDOW]
+            own.append(i)
+            parts.append(part)
+            held += 1 + len(part) // STRIDE
+            if held >= most:
+                yield np.array(own), parts
+                own, parts, held = [], [], 0
+    if parts:
+        yield np.array(own), parts
+
+
 class ByteCNN:
     """One-hot bytes, `filters` filters of each width, the maximum over a window, ReLU, softmax; trained by Adam."""
 
@@ -56,6 +72,24 @@ class ByteCNN:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted mean cross-entropy of some windows, one a column."""
+        w8, m = self.weights, len(y)
+        pooled, places = self._pooled(x)
+        hidden = np.maximum(pooled, 0)
+        slope = self._softmax(hidden @ w8["out"] + w8["bias"])
+        slope[np.arange(m), y] -= 1
+        slope *= weight[:, None] / m
+        back = (slope @ w8["out"].T) * (pooled > 0)
+        grads = {"out": hidden.T @ slope, "bias": slope.sum(0)}
+        column = np.broadcast_to(np.arange(self.filters), (m, self.filters))
+        for k, w in enumerate(WIDTHS):
+            own = back[:, k * self.filters : (k + 1) * self.filters]
+            for j in range(w):
+                g = grads[f"u{w}{j}"] = np.zeros_like(w8[f"u{w}{j}"])
+                np.add.at(g, (x[places[k] + j, np.arange(m)[:, None]], column), own)
+        return grads
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, size: int = 128, rate: float = 0.01, seed: int = 7) -> ByteCNN:
         """x: windows, one a column; y: places in langs.  Languages weigh the same, however many windows each has."""
         rng, w8 = np.random.default_rng(seed), self.weights
@@ -66,20 +100,7 @@ class ByteCNN:
             order = rng.permutation(len(y))
             for at in range(0, len(y), size):
                 pick = order[at : at + size]
-                xb, m = x[:, pick], len(pick)
-                pooled, places = self._pooled(xb)
-                hidden = np.maximum(pooled, 0)
-                slope = self._softmax(hidden @ w8["out"] + w8["bias"])
-                slope[np.arange(m), y[pick]] -= 1
-                slope *= weight[pick, None] / m
-                back = (slope @ w8["out"].T) * (pooled > 0)
-                grads = {"out": hidden.T @ slope, "bias": slope.sum(0)}
-                column = np.broadcast_to(np.arange(self.filters), (m, self.filters))
-                for k, w in enumerate(WIDTHS):
-                    own = back[:, k * self.filters : (k + 1) * self.filters]
-                    for j in range(w):
-                        g = grads[f"u{w}{j}"] = np.zeros_like(w8[f"u{w}{j}"])
-                        np.add.at(g, (xb[places[k] + j, np.arange(m)[:, None]], column), own)
+                grads = self.gradients(x[:, pick], y[pick], weight[pick])
                 t += 1
                 for k, g in grads.items():
                     mean[k] = 0.9 * mean[k] + 0.1 * g
@@ -111,10 +132,10 @@ class ByteCNN:
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Place in langs and score of each text: the mean over its windows, weighed by their bytes."""
-        x, owner, used = windows(texts)
-        p = self.probabilities(x) * np.maximum(used, 1)[:, None]
-        starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        mean = np.add.reduceat(p, starts, 0)
+        mean = np.zeros((len(texts), len(self.langs)))
+        for own, parts in pieces(texts):
+            x, owner, used = windows(parts)
+            np.add.at(mean, own[owner], self.probabilities(x) * np.maximum(used, 1)[:, None])
         mean /= mean.sum(1, keepdims=True)
         best = mean.argmax(1)
         return best, np.clip(mean[np.arange(len(best)), best].astype(float), 0, 1)
@@ -125,20 +146,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, learn: Column, lang: str = "lang", docs_per_lang: int = 600, windows_per_doc: int = 4, max_langs: int = 100) -> ByteCNN | None:
+def train(docs: DataFrame, learn: Column, lang: str = "lang", docs_per_lang: int = 600, windows_per_doc: int = 4, most_windows: int = 400_000) -> ByteCNN | None:
     """Fit on a bounded sample of the rows where `learn` holds and lang is not null: about docs_per_lang documents of
-    each of the max_langs most frequent languages, chosen by a hash of their text's checksum and id, and windows_per_doc
-    windows spread over each whole text.  None if there is nothing to learn from."""
+    each language, however rare, chosen by a hash of their id, and windows_per_doc windows spread over each whole text; with so
+    many languages that this exceeds most_windows, fewer documents of each.  None if there is nothing to learn from."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_langs).collect()
-    if not counts:
+    counts = rows.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_rows"))
+    langs = sorted(r["_lang"] for r in counts.select("_lang").collect())
+    if not langs:
         return None
-    langs = sorted(r[lang] for r in counts)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang) == r[lang], min(1.0, 1.3 * docs_per_lang / r["count"])).otherwise(share)
+    docs_per_lang = max(1, min(docs_per_lang, most_windows // (2 * windows_per_doc * len(langs))))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 24)) / float(1 << 24)
-    picked = rows.where(chance < share).select(F.col(lang).alias("lang"), "text")
+    picked = rows.join(counts, F.col(lang) == F.col("_lang")).where(chance < 1.3 * docs_per_lang / F.col("_rows")).select(F.col("_lang").alias("lang"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 4_000_000):
@@ -157,7 +176,8 @@ def train(docs: DataFrame, learn: Column, lang: str = "lang", docs_per_lang: int
     if not sample:
         return None
     x = np.stack([np.frombuffer(bytes(r.window), np.uint8) for r in sample], 1)
-    return ByteCNN(langs).fit(x, np.array([langs.index(r.lang) for r in sample]))
+    place = {own: i for i, own in enumerate(langs)}
+    return ByteCNN(langs).fit(x, np.array([place[r.lang] for r in sample]))
 
 
 def identify(docs: DataFrame, model: ByteCNN | None, keep: tuple[str, ...] = ()) -> DataFrame:

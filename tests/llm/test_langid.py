@@ -1,7 +1,8 @@
 import zlib
 
 import numpy as np
-from polyagg.llm.langid import STRIDE, WINDOW, ByteCNN, predict_languages, windows
+from polyagg.llm.langid import STRIDE, WINDOW, ByteCNN, predict_languages, train, windows
+from pyspark.sql import functions as F
 
 DOCS = "/root/testdata/sf0.01/documents.parquet"
 
@@ -25,6 +26,43 @@ def test_tables_equal_the_network():
     assert np.allclose(net.probabilities(x), net._softmax(z), atol=1e-5)
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    net = ByteCNN(["a", "b", "c"], filters=3)
+    net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    x, y, weight = rng.integers(97, 103, (20, 12), dtype=np.uint8), rng.integers(0, 3, 12), rng.random(12)
+
+    def loss():
+        p = net._softmax(np.maximum(net._pooled(x)[0], 0) @ net.weights["out"] + net.weights["bias"])
+        return -(weight * np.log(p[np.arange(12), y])).mean()
+
+    for name, g in net.gradients(x, y, weight).items():
+        w = net.weights[name]
+        for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(5)] + [np.unravel_index(np.abs(g).argmax(), g.shape)]:
+            old = w[at]
+            up, down = (w.__setitem__(at, old + d) or loss() for d in (1e-6, -1e-6))
+            w[at] = old
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-5, (name, at)
+
+
+def test_long_texts_by_parts():
+    rng = np.random.default_rng(2)
+    net = ByteCNN(["a", "b", "c"]).tables()
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in (1, 255, 256, 257, 999 * STRIDE + WINDOW, 1000 * STRIDE + 3, 3_000_000)]
+    best, score = net.predict(texts)
+    for t, b, s in zip(texts, best, score, strict=True):
+        x, _, used = windows([t])
+        p = (net.probabilities(x) * used[:, None]).sum(0) / used.sum()
+        assert p.argmax() == b and abs(p[b] - s) < 1e-6
+
+
+def test_rare_languages_are_learned(spark):
+    words = {f"l{i:03}": f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(120)}
+    rows = [(i * 3, f"{w} {w}{w} {w}", k) for k, w in words.items() for i in range(2)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.langs == sorted(words)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(DOCS)
     out = predict_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
