@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ class RankQueue:
         self.levels = [[0] * max(1, -(-ranks // 64))]
         while len(self.levels[-1]) > 1:
             self.levels.append([0] * -(-len(self.levels[-1]) // 64))
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[int] | array] = {}
 
-    def fill(self, rank: int, positions: list[int]) -> None:
-        """Give a rank that has no position a list of them; to one that has, append to buckets[rank]."""
+    def fill(self, rank: int, positions: list[int] | array) -> None:
+        """Give a rank that has no position some; to one that has, append to buckets[rank]."""
         self.buckets[rank] = positions
         for words in self.levels:
             word = words[rank >> 6]
@@ -53,8 +55,7 @@ class RankQueue:
             if words[rank >> 6]:
                 break
             rank >>= 6
-        positions.sort()
-        return positions
+        return sorted(positions)
 
 
 class ByteBPE:
@@ -62,11 +63,12 @@ class ByteBPE:
 
     Each pattern match is encoded by itself: the pair of neighbouring tokens whose joined bytes have the lowest rank
     is merged, leftmost first, until no pair has a rank.  One queue serves many matches, side by side without pairs
-    between them: the lowest rank of all is the lowest of each match that has it.  Ids of short matches are kept, about
-    `keep` of them; the matches of a batch that are not known go through the queue together, `together` bytes at a time.
+    between them: the lowest rank of all is the lowest of each match that has it.  Matches are taken `together` at a time,
+    in the middle of a text too; those not known go through the queue side by side.  Ids of short matches are kept while they
+    take no more than `keep` bytes; then only those stay that the matches at hand have used.
     """
 
-    def __init__(self, path: str, pattern: str, keep: int = 600_000, together: int = 200_000):
+    def __init__(self, path: str, pattern: str, keep: int = 16_000_000, together: int = 100_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
@@ -75,10 +77,11 @@ class ByteBPE:
         self.longest = max(map(len, self.ranks))
         self.single = np.array([self.ranks[bytes([x])] for x in range(256)])
         self.double = np.array([self.ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)])
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.queue = RankQueue(len(self.tokens))
         self.keep, self.together = keep, together
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each of some matches that are not empty."""
@@ -90,15 +93,16 @@ class ByteBPE:
         for x in begins:
             edge[x] = 1
         flat = np.frombuffer(raw, np.uint8).astype(np.int64)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a token ends where the next begins
-        tokens = self.single[flat].tolist()
+        listed = np.ndarray.tolist if n < 1 << 20 else lambda x: array("i", x.astype(np.int32).tobytes())  # packed, if there are many
+        after, before = listed(np.arange(1, n + 1)), listed(np.arange(-1, n - 1))  # a token ends where the next begins
+        tokens = listed(self.single[flat])
         rank = np.append(self.double[flat[:-1] << 8 | flat[1:]], -1)
         rank[begin[1:] - 1] = -1
-        pair = rank.tolist()  # the rank by which a token can merge with the next, as of now
+        pair = listed(rank)  # the rank by which a token can merge with the next, as of now
         order = np.argsort(rank, kind="stable")
         order = order[np.searchsorted(rank[order], 0) :]
         for own in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1) if len(order) else []:
-            queue.fill(int(rank[own[0]]), own.tolist())
+            queue.fill(int(rank[own[0]]), listed(own))
         while (r := queue.lowest()) >= 0:
             wait, later = 0, []  # a match in which a lower rank has come up waits for that
             for i in queue.drain(r):
@@ -153,32 +157,59 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        found = [self.find(t) for t in texts]
-        missing: set[str] = set()
-        for pieces in found:
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        for own, text in zip(out, texts, strict=True):
+            for pieces in self._matches(text):
+                held.append((own, pieces))
+                size += len(pieces)
+                if size >= self.together:
+                    self._settle(held)
+                    held, size = [], 0
+        self._settle(held)
+        return [own[0] if len(own) == 1 else b"".join(own) for own in out]
+
+    def _matches(self, text: str) -> Iterator[list[str]]:
+        """A text's matches, from left to right; those of a long text part by part."""
+        if len(text) < 4 * self.together:
+            yield self.pattern.findall(text)
+            return
+        found = self.pattern.finditer(text)
+        while part := [m[0] for m in islice(found, self.together)]:
+            yield part
+
+    def _settle(self, held: list[tuple[list[bytes], list[str]]]) -> None:
+        """Append the ids of each list of matches to the list beside it."""
+        known, missing = self.known, set()
+        for _, pieces in held:
             missing.update(set(pieces).difference(known))
-        long, held, size = [], [], 0
+        long, waits, size = [], [], 0
         for p in missing:
             raw = p.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 known[p] = whole.to_bytes(4, "little")
-                continue
+            else:
+                waits.append((p, raw))
+                size += len(raw)
+                if size > 2 * self.together:
+                    known.update(zip([w[0] for w in waits], self.merge([w[1] for w in waits]), strict=True))
+                    waits, size = [], 0
             if len(p) > 64:
                 long.append(p)
-            held.append((p, raw))
-            size += len(raw)
-            if size > self.together:
-                known.update(zip([h[0] for h in held], self.merge([h[1] for h in held]), strict=True))
-                held, size = [], 0
-        if held:
-            known.update(zip([h[0] for h in held], self.merge([h[1] for h in held]), strict=True))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in found]
+            else:
+                self.held += 250 + 4 * len(raw)  # about what an entry takes
+        if waits:
+            known.update(zip([w[0] for w in waits], self.merge([w[1] for w in waits]), strict=True))
+        for own, pieces in held:
+            own.append(b"".join(map(known.__getitem__, pieces)))
         for p in long:
             del known[p]
-        return out
+        if self.held > self.keep:
+            used = set().union(*(pieces for _, pieces in held)).difference(long)
+            known = {p: known[p] for p in used}
+            self.held = sum(250 + 4 * len(p) for p in used)
+            self.known = known if self.held < self.keep // 2 else {}
+            self.held *= self.held < self.keep // 2
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -190,15 +221,18 @@ def bpe(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def _mapped(docs: DataFrame, column: str, kind, out: str, f) -> DataFrame:
-    keep = [c for c in docs.columns if c not in (column, out)]
+def _mapped(docs: DataFrame, column: str, kind, out: tuple[str, ...], f) -> DataFrame:
+    """docs with a column replaced by binary ones: f makes of a list of values a list for each."""
+    keep = [c for c in docs.columns if c not in (column, *out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, column, 4_000_000):
-            made = pa.array(f()(batch.column(column).cast(kind).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, out])
+        for batch in sliced(batches, column, 1_000_000):
+            made = f(batch.column(column).cast(kind).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.binary()) for x in made)], names=[*keep, *out])
 
-    schema = docs.select(*keep).schema.add(out, "binary")
+    schema = docs.select(*keep).schema
+    for name in out:
+        schema = schema.add(name, "binary")
     return docs.select(*keep, column).mapInArrow(run, schema)
 
 
@@ -207,11 +241,22 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     Null and empty texts have no ids.  Rows are taken one by one, so ties, repeated rows and empty tables need no rule;
     other columns are kept, but one already named like `ids` is replaced.  Texts are encoded whole; a task holds
-    a few MB of them, or one text if that is longer.
+    about a MB of them, or one text if that is longer, with 100,000 of its matches at a time.
     """
-    return _mapped(docs, text, pa.string(), ids, lambda: lambda xs: bpe(path, pattern).encode([x or "" for x in xs]))
+    return _mapped(docs, text, pa.string(), (ids,), lambda xs: [bpe(path, pattern).encode([x or "" for x in xs])])
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The inverse of encode(): ids replaced by the bytes they stand for.  Null ids give no bytes."""
-    return _mapped(docs, ids, pa.binary(), text, lambda: lambda xs: [bpe(path, pattern).decode(x or b"") for x in xs])
+    return _mapped(docs, ids, pa.binary(), (text,), lambda xs: [[bpe(path, pattern).decode(x or b"") for x in xs]])
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode(), and beside the ids what they decode to, by one Python worker a task instead of two."""
+
+    def both(texts: list[str | None]) -> list[list[bytes]]:
+        own = bpe(path, pattern)
+        found = own.encode([x or "" for x in texts])
+        return [found, [own.decode(x) for x in found]]
+
+    return _mapped(docs, text, pa.string(), (ids, decoded), both)

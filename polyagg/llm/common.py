@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import re
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,9 +73,13 @@ class Workspace:
             for f in df.inputFiles()[:1]:
                 delete_path(self.spark, f.rpartition("/")[0])
 
+    def close(self) -> None:
+        """Delete all tables, once nothing that is returned reads them."""
+        delete_path(self.spark, self.root)
+
     def _end(self) -> None:
         with contextlib.suppress(Exception):  # at exit the JVM may be gone; the folder is then the cluster's to clean
-            delete_path(self.spark, self.root)
+            self.close()
 
 
 def release(spark: SparkSession, times: int = 1) -> None:
@@ -87,6 +93,21 @@ def release(spark: SparkSession, times: int = 1) -> None:
             time.sleep(0.3)
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system: Spark keeps workers, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that column's bytes stay near limit in each (one row at least)."""
     for batch in batches:
@@ -99,6 +120,8 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+        trim()
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,16 +152,17 @@ def train(docs: DataFrame, learn: Column, lang: str = "lang", docs_per_lang: int
     each language, however rare, chosen by a hash of their id, and windows_per_doc windows spread over each whole text; with so
     many languages that this exceeds most_windows, fewer documents of each.  None if there is nothing to learn from."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_rows"))
-    langs = sorted(r["_lang"] for r in counts.select("_lang").collect())
-    if not langs:
+    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
+    if not counts:
         return None
+    langs = sorted(counts)
     docs_per_lang = max(1, min(docs_per_lang, most_windows // (2 * windows_per_doc * len(langs))))
+    shares = F.from_json(F.lit(json.dumps({k: min(1.0, 1.3 * docs_per_lang / n) for k, n in counts.items()})), "map<string,double>")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 24)) / float(1 << 24)
-    picked = rows.join(counts, F.col(lang) == F.col("_lang")).where(chance < 1.3 * docs_per_lang / F.col("_rows")).select(F.col("_lang").alias("lang"), "text")
+    picked = rows.where(chance < F.element_at(shares, F.col(lang))).select(F.col(lang).alias("lang"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 4_000_000):
+        for batch in sliced(batches, "text", 1_000_000):
             kept = [(a, t) for a, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if LETTER.search(t)]
             if not kept:
                 continue
@@ -193,7 +195,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, keep: tuple[str, ...] = ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.tables() if model is not None else None
-        for batch in sliced(batches, "text", 2_000_000):
+        for batch in sliced(batches, "text", 1_000_000):
             texts = batch.column("text").to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             good = [i for i, t in enumerate(texts) if t and own is not None and LETTER.search(t)]

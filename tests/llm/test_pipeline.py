@@ -4,7 +4,7 @@ from collections import Counter
 sys.path.insert(0, __file__.rpartition("/")[0])
 import corpus_pipeline
 from brute import repeats, rows
-from polyagg.llm import parity_sketch, suffix_array
+from polyagg.llm import mixing, parity_sketch, suffix_array
 from polyagg.llm.queries import queries
 from pyspark.sql import functions as F
 from test_parity_sketch import brute as components
@@ -66,11 +66,29 @@ def test_mixture_takes_toxic_text_down(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     kept = corpus_pipeline.mixture(spark, docs, sf)
     assert kept.columns == docs.columns
-    share = {}
-    for name, df in (("before", docs), ("after", kept)):
-        share[name] = {r.k: r.n for r in df.join(labels, "doc_id").groupBy((F.col("toxic") * 2 + F.col("quality")).alias("k")).agg(F.count("*").alias("n")).collect()}
-    toxic = sum(share["after"].get(k, 0) for k in (2, 3)) / sum(share["before"][k] for k in (2, 3) if k in share["before"])
-    assert share["after"][1] >= 0.97 * share["before"][1] and toxic < 0.6, share
+    mixture, rates, share = mixing.thinning(docs, mixing.quality_domains(labels), "toxic")
+    own = mixture.rows.select("doc_id", (F.col("n_tokens") * F.col("member")[2]).alias("t"), F.least(F.lit(1.0), rates.rate()).alias("r"))
+    own = own.join(labels, "doc_id", "left").join(kept.select("doc_id", F.lit(1).alias("kept")), "doc_id", "left").fillna(0, ["kept"])
+    sums = {"expected": "sum(r * t) / sum(t)", "drawn": "sum(kept * t) / sum(t)", "sd": "sqrt(sum(r * (1 - r) * t * t)) / sum(t)", "clean": "avg(IF(quality = 1 AND toxic = 0, kept, null))", "toxic": "avg(IF(toxic = 1, kept, null))"}
+    r = own.agg(*(F.expr(v).alias(k) for k, v in sums.items())).first()
+    assert abs(r.expected - share) < 0.01 and abs(r.drawn - r.expected) < 4 * r.sd and r.clean >= 0.97 and r.toxic < 0.4, (share, r)
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Nulls in each column, repeated rows, an empty and a long text, a column whose name an operator uses inside."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    long = " ".join(f"word{i % 9973}" for i in range(200_000))
+    odd = [(9001, None, None, None, None), (None, "some words of no id", "en", None, 3), (None, None, None, None, None), (9002, "", "en", "s", 0), (9077, long, "en", "s", len(long)), (9078, "a b", "en", "s", 3), (9078, "a b", "en", "s", 3)]
+    rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(spark.createDataFrame(odd, SCHEMA))
+    rows = rows.withColumns({"node": F.lit("x"), "spans": F.lit("x"), "member": F.lit("x"), "ids": F.lit("x")})
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, SF)
+        left[name] = Counter(r.doc_id for r in out.select("doc_id").collect())
+        assert "node" not in out.columns and "member" not in out.columns
+    assert 9001 not in left["language"] and left["near_duplicates"][9078] == 1 and left["near_duplicates"][9077] == 1
+    assert left["repeated_strings"][9078] == 2 and left["repeated_strings"][None] == 2
+    assert left["tokens"] == Counter(r.doc_id for r in rows.select("doc_id").collect()) and left["mixture"][9077] <= 1
 
 
 def test_empty(spark):
