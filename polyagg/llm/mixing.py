@@ -119,8 +119,8 @@ class Rates:
 
         1/2 * sum over domains of (share - target)^2 / target + ridge/2 * mean over tokens of (r - 1)^2.
 
-    There r = max(0, 1 - member . error / ridge), where a domain's error is (share - target) / target, so a rate is a function of
-    the membership and of one number for each domain.
+    There r = max(0, 1 - member . error / ridge), where a domain's error is (share - target) / target: a gradient step from rates of 1,
+    projected on nonnegative ones.  So a rate is a function of the membership and of one number for each domain.
     """
 
     def __init__(self, targets: list[float], ridge: float, errors: list[float]):
@@ -150,8 +150,9 @@ def solved(a: list[list[float]], b: list[float]) -> list[float]:
 def fit_rates(cells: DataFrame, targets: list[float], ridge: float = 0.001, tolerance: float = 1e-7, most: int = 1000) -> Rates:
     """Fit on cells (member, tokens): one row for each membership that occurs, so at most as many as the grid has points.
 
-    Newton's method for the domains' errors, which are where a convex function has its least value; a step that does not lower it
-    enough is halved.  It ends when the rates' shares are those of the errors to `tolerance` of the targets; `most` steps are
+    Each step projects the gradient's step at the domains' errors, sums the tokens that these rates give over the distributed cells,
+    and moves the errors towards those they cause.  The errors are where a convex function has its least value, so its curvature
+    (Newton's method) scales the move; one that does not lower it enough is halved.  It ends when the rates' shares are those of the errors to `tolerance` of the targets; `most` steps are
     a guard that a piecewise quadratic function does not reach.
     """
     n = len(targets)
@@ -228,21 +229,30 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: t
     return mixture.rows.select("doc_id", *keep, "n_tokens", *(F.col("member")[i].alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate"))
 
 
-def thinned(docs: DataFrame, labelled: DataFrame, domain: str, share: float) -> DataFrame:
-    """docs drawn by the rates that bring one domain's expected tokens to `share` times what they are and leave the others'.
+def thinning(docs: DataFrame, labelled: DataFrame, domain: str, share: float | None = None, keep: tuple[str, ...] = ()) -> tuple[Mixture, Rates, float]:
+    """Memberships, and the rates that bring one domain's expected tokens to `share` times what they are and leave the others'.
 
-    A row stays if a number in [0, 1) made of its id's and text's hashes is below its rate, so rows of rate 1 or more all
-    stay; so do rows that belong to the domain by less than a half, whatever their rate, so more than `share` of the expected
-    tokens stays (figures in the README).
+    share None: that part of them which is in documents that belong to the domain by less than a half.  Rates can reach that
+    however well words tell domains apart; a smaller share could take documents of the other domains along.
     """
     domains = ["clean", "poor", "toxic"]
-    mixture = Mixture(docs, labelled, domains)
-    shares = mixture.shares()
-    rates = mixture.fit([s * (share if d == domain else 1.0) for d, s in zip(domains, shares, strict=True)])
-    place = domains.index(domain)
-    rows = membership(docs, mixture.model, domains, tuple(c for c in docs.columns if c != "doc_id"))
+    mixture = Mixture(docs, labelled, domains, keep)
+    if share is None:
+        own = F.col("member")[domains.index(domain)]
+        sums = mixture.cells.agg(F.sum(F.when(own < 0.5, F.col("tokens") * own)), F.sum(F.col("tokens") * own)).first()
+        share = (sums[0] or 0.0) / sums[1] if sums[1] else 1.0
+    return mixture, mixture.fit([s * (share if d == domain else 1.0) for d, s in zip(domains, mixture.shares(), strict=True)]), share
+
+
+def thinned(docs: DataFrame, labelled: DataFrame, domain: str, share: float | None = None) -> DataFrame:
+    """docs drawn by the rates of thinning().
+
+    A row stays if a number in [0, 1) made of its id's and text's hashes is below its rate; rows of rate 1 or more all stay.
+    Null and empty texts stay or go by the prior's membership, repeated rows together; an empty table stays empty.
+    """
+    mixture, rates, _ = thinning(docs, labelled, domain, share, tuple(c for c in docs.columns if c != "doc_id"))
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where((F.col("member")[place] < 0.5) | (chance < rates.rate())).select(*docs.columns)
+    return mixture.rows.where(chance < rates.rate()).select(*docs.columns)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
