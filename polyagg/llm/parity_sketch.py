@@ -13,12 +13,12 @@ from polyagg.llm.common import Workspace, sliced, texts_as_bytes
 from polyagg.llm.components import components
 from polyagg.llm.rolling import LOWER, Runs, mix, words
 
-BATCH = 2_000_000
+BATCH = 1_000_000
 SHINGLE = 5
 #: Blocks of a band that are compared, the most documents whose pairs in one block are listed, and bits of a sketch.
 BLOCKS, LISTED, BITS = 96, 8, 1024
 #: Sets, and elements of sets, that make a part of a component when its links are counted.
-PART_SETS, PART_ELEMENTS = 512, 1_000_000
+PART_SETS, PART_ELEMENTS = 2048, 1_000_000
 #: The share of a large set's compared blocks of one band that must be common for it to be compared by sketches: a link that no
 #: listed block shows agrees in common blocks of its band alone, ten or more of 96 (see block_sketches).
 COMMON = 0.1
@@ -88,12 +88,34 @@ def block_sketches(value: np.ndarray, own: np.ndarray, size: np.ndarray, blocks:
     return text[order], np.concatenate(out_sig)[order]
 
 
+def prefix_ends(text: np.ndarray, sig: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each text and band (the even one, the odd one) the last of its |A| / 3 + 1 smallest signatures, as signed numbers.
+
+    At most |A| / 3 of a set's blocks differ from those of a similar set, so the smallest signature that both have is among these
+    for either.
+    """
+    signed = sig.view(np.int64)
+    own = 2 * text + (signed < 0)
+    order = np.lexsort((signed, own))
+    first = np.searchsorted(own[order], np.arange(2 * len(size)))
+    count = np.diff(np.append(first, len(own)))
+    out = np.full(2 * len(size), np.iinfo(np.int64).min)
+    some = np.flatnonzero(count)
+    out[some] = signed[order][first[some] + np.minimum(size[some // 2] // 3 + 1, count[some]) - 1]
+    return out.reshape(-1, 2)
+
+
 def bit_sketches(value: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
     """A row of BITS parities for each text: every element flips one bit, so the Hamming distance of two rows is at
     most the symmetric difference of their sets."""
     bit = (mix(value + np.uint64(0x632BE59BD9B4E019)) & np.uint64(BITS - 1)).astype(np.int64)
-    odd = (np.bincount(own * BITS + bit, minlength=texts * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(texts, BITS), axis=1)
+    out = np.empty((texts, BITS // 8), np.uint8)
+    for at in range(0, texts, 512):
+        a, b = np.searchsorted(own, [at, at + 512])
+        n = min(512, texts - at)
+        odd = (np.bincount((own[a:b] - at) * BITS + bit[a:b], minlength=n * BITS) & 1).astype(np.uint8)
+        out[at : at + n] = np.packbits(odd.reshape(n, BITS), axis=1)
+    return out
 
 
 def _sketched(blocks: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +133,11 @@ def _sketched(blocks: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator
         cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
         odd = np.bincount(text[sig >> np.uint64(63) == 1], minlength=len(texts))
         bits = bit_sketches(value, own, len(texts))
+        ends = prefix_ends(text, sig, size)
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("text_key"), pa.array(size.astype(np.int32)), pa.array(mix(total + size.astype(np.uint64)).view(np.int64)), pa.array(other.view(np.int64)),
-            pa.array([sig[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array(odd.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()),
-        ], names=["doc_id", "text_key", "n", "node", "key", "sigs", "odd", "bits"])
+            pa.array([sig[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array(odd.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(ends[:, 0]), pa.array(ends[:, 1]),
+        ], names=["doc_id", "text_key", "n", "node", "key", "sigs", "odd", "bits", "even_end", "odd_end"])
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +272,9 @@ def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     """Rows (root, low, high, part, node, set) sorted by the first three: how many links each node has with nodes of the
     group's other part, or inside its only one."""
 
-    def group(rows):
-        node, part = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    def counted(rows, low, high) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[1] != low)
+        node, a = np.array([r[0] for r in rows], np.int64), sum(r[1] == low for r in rows)
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
         n = np.array([len(x) for x in sets], np.int64)
         own = np.repeat(np.arange(len(sets)), n)
@@ -260,34 +284,34 @@ def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         order = np.argsort(column, kind="stable")
         own, column = own[order], column[order]
         column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            a, b = np.searchsorted(column, [at, at + 4096])
-            has = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - at)), np.float32)
-            has[own[a:b], column[a:b] - at] = 1
-            both += has @ has.T
-        both = both.astype(np.int64)
-        linked = 100 * both >= percent * (n[:, None] + n[None] - both)
-        if rows[0][3]:
-            linked &= part[:, None] != part[None]
-        else:
-            np.fill_diagonal(linked, False)
-        return node, linked.sum(1)
-
-    def counted(rows):
-        node, count = group(rows)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(count.astype(np.int64))], names=["node", "n_links"])
+        others = slice(a, None) if low != high else slice(None)
+        both = np.zeros((a, len(sets[others])), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            i, j = np.searchsorted(column, [at, at + 2048])
+            has = np.zeros((len(sets), min(2048, int(column[-1]) + 1 - at)), np.float32)
+            has[own[i:j], column[i:j] - at] = 1
+            both += has[:a] @ has[others].T
+        count = np.zeros(len(sets), np.int64)
+        for at in range(0, a, 256):
+            some = both[at : at + 256].astype(np.int64)
+            linked = 100 * some >= percent * (n[at : at + len(some), None] + n[others][None] - some)
+            if low == high:
+                linked[np.arange(len(some)), at + np.arange(len(some))] = False
+            else:
+                count[a:] += linked.sum(0)
+            count[at : at + len(some)] += linked.sum(1)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(count)], names=["node", "n_links"])
 
     held, name = [], None
     for batch in batches:
         for root, low, high, *row in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "node", "part", "set")), strict=True):
             if (root, low, high) != name:
                 if held:
-                    yield counted(held)
+                    yield counted(held, *name[1:])
                 held, name = [], (root, low, high)
-            held.append((*row, low != high))
+            held.append(row)
     if held:
-        yield counted(held)
+        yield counted(held, *name[1:])
 
 
 def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None = BLOCKS) -> DataFrame:
@@ -301,7 +325,7 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
 
     (1) Sets become block sketches and a bit sketch.  (2) Nodes that share a block of LISTED nodes or fewer are paired; bit
     sketches and then the sets themselves decide.  (3) A node could agree with another in blocks alone that more nodes share, if
-    it has as many of those as block_sketches() says.  In each such block, every node is compared with the smallest; then, in blocks
+    it has as many of those as block_sketches() says.  Every such node is compared with the smallest of most of its blocks; then, in blocks
     that still hold several components, by sketch with the nodes of other components; the nearest are verified and components
     renewed until nothing that a sketch allows is untested.  So a group of any number of near copies is joined by a few links for
     each member, and no link between components is lost: with blocks=None by proof, else but for the chances that
@@ -317,10 +341,11 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         raise ValueError("blocks and sketches are laid out for a similarity of 0.75 or more")
     space = Workspace(docs.sparkSession, "parity")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    schema = "doc_id long, text_key long, n int, node long, key long, sigs binary, odd int, bits binary"
+    schema = "doc_id long, text_key long, n int, node long, key long, sigs binary, odd int, bits binary, even_end long, odd_end long"
     made = space.stage(rows.mapInArrow(lambda b: _sketched(blocks, b), schema), "sketched", large=True)
-    first = F.min(F.struct("doc_id", "sigs", "odd", "bits")).alias("one")
-    nodes = space.stage(made.where("n > 0").groupBy("node", "key", "n").agg(first, F.min("doc_id").alias("least")).select("node", "n", "least", "one.sigs", "one.odd", "one.bits"), "nodes", large=True)
+    sketch = ("sigs", "odd", "bits", "even_end", "odd_end")
+    first = F.min(F.struct("doc_id", *sketch)).alias("one")
+    nodes = space.stage(made.where("n > 0").groupBy("node", "key", "n").agg(first, F.min("doc_id").alias("least")).select("node", "n", "least", *(f"one.{c}" for c in sketch)), "nodes", large=True)
 
     blocks = nodes.select("node", "n", "sigs").mapInArrow(_exploded, "sig long, node long, n int")
     met = blocks.repartition("sig").sortWithinPartitions("sig").mapInArrow(_collisions, "sig long, a long, b long")
@@ -336,10 +361,11 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
     filled = F.when(F.col("is_odd"), F.col("odd")).otherwise(F.octet_length("sigs") / 8 - F.col("odd"))
     proven = F.greatest(F.lit(1), filled - F.floor(F.col("n") / 3))
     enough = F.when(F.col("n") < 64, proven).otherwise(proven if blocks is None else COMMON * filled)
-    heavy = common.groupBy("node", "is_odd").count().join(nodes, "node").where(F.col("count") >= enough).select("node", "is_odd", "n")
-    crowd = common.join(heavy, ["node", "is_odd"]).drop("is_odd")
-    if blocks is not None:  # half of 96 blocks fail to show a pair with a chance of 1e-9; sets under 64 elements keep all
-        crowd = crowd.where("n < 64 OR sig & 1 = 0")
+    heavy = common.groupBy("node", "is_odd").count().join(nodes, "node").where(F.col("count") >= enough)
+    heavy = heavy.select("node", "is_odd", "n", F.when(F.col("is_odd"), F.col("odd_end")).otherwise(F.col("even_end")).alias("end"))
+    # half of 96 blocks fail to show a pair with a chance of 1e-9; where all blocks are compared, a prefix of them shows it
+    prefix = "sig <= end" if blocks is None else "IF(n < 64, sig <= end, sig & 1 = 0)"
+    crowd = common.join(heavy, ["node", "is_odd"]).where(prefix).select("sig", "node", "n")
     crowd = space.stage(crowd, "crowd")
     space.drop(met)
 
@@ -358,10 +384,11 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
     links, tested, top, part = verified(near), near, 8, 8
     groups = crowd.count()
     if groups:
-        # each block's nodes with its smallest: most of a family is one component after that
+        # each node with the smallest of most of its blocks: most of a family is one component after that
         leader = crowd.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("first"))
         led = crowd.join(leader, "sig").where("node <> first.node AND 4 * least(n, first.n) >= 3 * greatest(n, first.n)")
-        led = led.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+        led = led.groupBy("node", F.col("first.node").alias("to")).count().groupBy("node").agg(F.max(F.struct("count", "to")).alias("one"))
+        led = led.select(F.least("node", "one.to").alias("a"), F.greatest("node", "one.to").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
         led = space.stage(led, "led")
         links, tested = links.unionByName(verified(led)), tested.unionByName(led)
     # between rounds two rounds of contraction do: labels that differ within a component only cost tests
@@ -406,7 +433,10 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = labelled.join(smallest, "root").join(degree, "node", "left").select("node", F.col("least").alias("class_id"), "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = made.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return out.join(labelled, "node", "left").select("doc_id", "text_key", "n_shingles", "node", "class_id", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.join(labelled, "node", "left").select("doc_id", "text_key", "n_shingles", "node", "class_id", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = Workspace(docs.sparkSession, "classes").stage(out, "classes", large=True)
+    space.close()
+    return out
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from polyagg.llm.common import Workspace, delete_path, release, sliced, texts_as_bytes
 from polyagg.llm.rolling import Runs, merged, minimizer_groups, mix, words
 
-BATCH = 2_000_000
+BATCH = 1_000_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:
