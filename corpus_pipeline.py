@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The score from which a language counts as told; texts in two of the languages have a half or less.
 SURE = 0.3
-#: What is left of the toxic domain's expected tokens.  Much less cannot be reached without clean documents: about two fifths of
-#: the tokens labelled toxic are in documents that no word tells from clean ones.
-TOXIC_SHARE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,20 +42,22 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw documents by the rates that bring toxic text's expected tokens down to TOXIC_SHARE of what they are.  Null and empty texts
+    """Draw documents by the rates that bring toxic text's expected tokens down to those in documents less toxic than not.  Null and empty texts
     have no tokens and the membership of the mean; without labels all memberships are even."""
     docs = docs.select(*COLUMNS)
     labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
-    return mixing.thinned(docs, labels, "toxic", TOXIC_SHARE)
+    return mixing.thinned(docs, labels, "toxic")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and whether they decode to its text; none for null and empty texts."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode(docs.select(*COLUMNS).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), path, pattern)
-    coded = coded.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256)})
-    back = bpe.decode(coded.withColumn("_ids", F.col("ids")), path, pattern, ids="_ids")
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    docs = docs.select(*COLUMNS).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    coded = bpe.round_trip(docs, path, pattern)
+    return coded.select(
+        "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),
+    )
 
 
 STAGES = [
