@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from polyagg.functions.geometry import Grid, crosses, inside
 
-#: Rows up to which a table of cells is broadcast; larger ones are shuffled on the cell.
-BROADCAST_ROWS = 200_000
+#: Rows, and about how many bytes, up to which a table of cells is broadcast; larger ones are shuffled on the cell.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def checked(small: DataFrame) -> DataFrame:
-    """small with a broadcast hint if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+    """small with a broadcast hint if it is within both limits; an edge in an array counts as 32 bytes, the rest of a row as 64."""
+    edges = [F.coalesce(F.size(f.name), F.lit(0)) * 32 for f in small.schema if isinstance(f.dataType, ArrayType)]
+    rows, size = small.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(sum(edges, F.lit(64)))).first()
+    return F.broadcast(small) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else small
 
 
 def grid_index(edges: DataFrame, grid: Grid) -> DataFrame:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyagg.functions.geometry import Grid, clip_range, inside, smaller_side
 from polyagg.operators.index import checked, grid_index, index_join
 
 
+def totals() -> list[Column]:
+    """Of points with v: their number, the sum of v, and how many have a v."""
+    return [F.count(F.lit(1)).alias("cnt"), F.sum("v").alias("sum_v"), F.count("v").alias("n_v")]
+
+
 def pixels(points: DataFrame, grid: Grid) -> DataFrame:
-    """(px, py, cnt, sum_v) of points (x, y, v) on the canvas: Spark adds up within each task before it shuffles, so no more
+    """(px, py, cnt, sum_v, n_v) of points (x, y, v) on the canvas: Spark adds up within each task before it shuffles, so no more
     rows move than there are occupied pixels."""
     px, py = grid.cell(F.col("x"), F.col("y"))
     on = points.where(grid.bounds.holds(F.col("x"), F.col("y")))
-    return on.groupBy(px.alias("px"), py.alias("py")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("v").alias("sum_v"))
+    return on.groupBy(px.alias("px"), py.alias("py")).agg(*totals())
 
 
 def covered(occupied: DataFrame, edges: DataFrame, grid: Grid, index: Grid) -> DataFrame:
@@ -24,7 +29,7 @@ def covered(occupied: DataFrame, edges: DataFrame, grid: Grid, index: Grid) -> D
 
 
 def added(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("poly_id").agg(F.sum("cnt").alias("cnt"), F.sum("sum_v").alias("sum_v"))
+    return rows.groupBy("poly_id").agg(*(F.sum(c).alias(c) for c in ("cnt", "sum_v", "n_v")))
 
 
 def pixel_join(points: DataFrame, edges: DataFrame, grid: Grid, index: Grid) -> DataFrame:
@@ -40,8 +45,7 @@ def hybrid_join(points: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
     whole = cells.where(~F.col("mixed")).select(F.col("cx").alias("px"), F.col("cy").alias("py"), "poly_id")
     inner = added(pixels(points, grid).join(checked(whole), ["px", "py"]))
     border = index_join(points.select("x", "y", "v"), cells.where("mixed"), grid)
-    outer = border.groupBy("poly_id").agg(F.count(F.lit(1)).alias("cnt"), F.sum("v").alias("sum_v"))
-    return added(inner.unionByName(outer))
+    return added(inner.unionByName(border.groupBy("poly_id").agg(*totals())))
 
 
 def border_pixels(edges: DataFrame, grid: Grid) -> DataFrame:

@@ -7,25 +7,25 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polyagg.functions.geometry import Bounds, Grid, canvas, square_grid
 from polyagg.functions.predicates import conjunction, time_range
 from polyagg.operators.index import grid_index, index_join, nested_join
-from polyagg.operators.raster import hybrid_join, range_join, pixel_join
+from polyagg.operators.raster import added, hybrid_join, pixel_join, range_join, totals
 from polyagg.sources.polygons import Polygons
 
 
 def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("poly_id").agg(F.count(F.lit(1)).alias("cnt"), F.sum("v").alias("sum_v"))
+    return rows.groupBy("poly_id").agg(*totals())
 
 
 def _index(q: SpatialAggregation, points: DataFrame, edges: DataFrame) -> DataFrame:
-    return _summed(index_join(points, grid_index(edges, q.index_grid()), q.index_grid()))
+    return _summed(index_join(points, grid_index(edges, q.index_grid()) if q.index is None else q.index, q.index_grid()))
 
 
 def _nested(q: SpatialAggregation, points: DataFrame, edges: DataFrame) -> DataFrame:
-    places = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cnt"), F.sum("v").alias("sum_v"))
-    return nested_join(places, edges).groupBy("poly_id").agg(F.sum("cnt").alias("cnt"), F.sum("sum_v").alias("sum_v"))
+    return added(nested_join(points.groupBy("x", "y").agg(*totals()), edges))
 
 
 #: Strategy by name; others can be added.
@@ -41,8 +41,11 @@ STRATEGIES: dict[str, Callable[[SpatialAggregation, DataFrame, DataFrame], DataF
 class SpatialAggregation:
     """COUNT, SUM and AVG of points (x, y, attributes) in each polygon.
 
-    value: what is added up, an integer expression (doubles add up differently in each order); None counts only.
-    Results have a row for every polygon, with 0 and an average of 0.0 where it holds no point.
+    value: what is added up, an integer or decimal expression, whose sums are exact; None counts only.  Floats and doubles add up
+    differently in each order, so they are first rounded to `scale` decimal places, which must be given for them; NaN and infinity
+    count as null.  As in SQL, a null value counts as a point but not for the average.  Results have a row for every polygon, with 0
+    and an average of 0.0 where it holds no point, or no value.
+    index: cells of grid_index() on index_grid(), such as load_index() gives; None builds them.
     """
 
     points: DataFrame
@@ -52,6 +55,8 @@ class SpatialAggregation:
     pixel: float | None = None
     canvas_pixels: tuple[int, int] | None = None
     condition: Column | None = None
+    scale: int | None = None
+    index: DataFrame | None = None
 
     def where(self, *filters: tuple[str, str, object]) -> SpatialAggregation:
         """Keep points that meet all of (column, comparison, constant)."""
@@ -81,15 +86,28 @@ class SpatialAggregation:
         rows = self.points if self.condition is None else self.points.where(self.condition)
         b = self.bounds()
         box = F.col("x").between(b.x0, b.x1) & F.col("y").between(b.y0, b.y1)
-        return rows.where(box).select("x", "y", (F.lit(0) if self.value is None else self.value).cast("long").alias("v"))
+        return rows.where(box).select("x", "y", self.exact(rows).alias("v"))
+
+    def exact(self, rows: DataFrame) -> Column:
+        """The value as a long or a decimal."""
+        value = F.lit(0) if self.value is None else self.value
+        kind = rows.select(value.alias("v")).schema["v"].dataType
+        if isinstance(kind, T.DecimalType):
+            return value
+        if isinstance(kind, T.FractionalType):
+            if self.scale is None:
+                raise ValueError("a fractional value needs scale, the decimal places that its sums keep")
+            return value.try_cast(T.DecimalType(28, self.scale))
+        return value.cast("long")
 
     def run(self, strategy: str = "index") -> DataFrame:
         """(poly_id, cnt, sum_v, avg_v)."""
         spark = self.points.sparkSession
         found = STRATEGIES[strategy](self, self.input(), self.polygons.edges(spark))
         dense = self.polygons.ids(spark).join(found, "poly_id", "left")
-        cnt, total = F.coalesce("cnt", F.lit(0)).cast("long"), F.coalesce("sum_v", F.lit(0)).cast("long")
-        average = F.when(cnt > 0, total.cast("double") / F.nullif(cnt, F.lit(0))).otherwise(0.0)
+        cnt, n = (F.coalesce(c, F.lit(0)).cast("long") for c in ("cnt", "n_v"))
+        total = F.coalesce("sum_v", F.lit(0).cast(found.schema["sum_v"].dataType))
+        average = F.when(n > 0, total.cast("double") / F.nullif(n, F.lit(0))).otherwise(0.0)
         return dense.select("poly_id", cnt.alias("cnt"), total.alias("sum_v"), average.alias("avg_v"))
 
     def ranges(self, per_edge: bool = False) -> DataFrame:

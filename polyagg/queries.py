@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,13 +84,28 @@ for view, own in SETS.items():
 add("count_index", lambda s, d: build(s, d).run().select("poly_id", "cnt"), exact_sql("lineitem", X.STARS, keep="cnt"))
 add("count_hybrid", lambda s, d: build(s, d, canvas_pixels=(128, 128)).run("hybrid").select("poly_id", "cnt"), exact_sql("lineitem", X.STARS, keep="cnt"))
 add("sum_exact", lambda s, d: build(s, d).run().select("poly_id", "sum_v"), exact_sql("lineitem", X.STARS, keep="sum_v"))
-add("avg_exact", lambda s, d: build(s, d).run("nested").select("poly_id", "avg_v"), exact_sql("lineitem", X.STARS, keep="avg_v"))
+add("avg_exact", lambda s, d: build(s, d).run("index").select("poly_id", "avg_v"), exact_sql("lineitem", X.STARS, keep="avg_v"))
 add("avg_index", lambda s, d: build(s, d).run().select("poly_id", "avg_v"), exact_sql("lineitem", X.STARS, keep="avg_v"))
 add("avg_hybrid", lambda s, d: build(s, d, canvas_pixels=(256, 256)).run("hybrid").select("poly_id", "avg_v"), exact_sql("lineitem", X.STARS, keep="avg_v"))
 add("index_coarse_grid", lambda s, d: build(s, d, index_cells=8).run(), exact_sql("lineitem", X.STARS))
 add("index_many_polygons", lambda s, d: build(s, d, polygons=X.MANY_STARS).run(), exact_sql("lineitem", X.MANY_STARS))
 add("tiles_partition", lambda s, d: build(s, d, polygons=X.TILES).run(), exact_sql("lineitem", X.TILES))
 
+# Fractional values: doubles of two decimal places, and decimals of three.
+HUNDREDTHS = f"SELECT poly_id, cnt, CAST(sum_v AS DOUBLE) / 100 AS sum_v, CASE WHEN cnt > 0 THEN CAST(sum_v AS DOUBLE) / 100 / cnt ELSE CAST(0 AS DOUBLE) END AS avg_v FROM ({exact_sql('lineitem', X.STARS)}) AS q"
+THOUSANDTHS = HUNDREDTHS.replace("/ 100", "/ 1000")
+
+
+def fractional(strategy: str, decimal: bool = False) -> Query:
+    value = lambda: (F.col("v") / F.lit(1000)).cast("decimal(20,3)") if decimal else F.col("v") / 100
+    return lambda s, d: replace(build(s, d, canvas_pixels=(128, 128), scale=2), value=value()).run(strategy).withColumn("sum_v", F.col("sum_v").cast("double"))
+
+
+for strategy in ("index", "hybrid", "nested"):
+    add(f"avg_double_{strategy}", fractional(strategy), HUNDREDTHS)
+    add(f"sum_decimal_{strategy}", fractional(strategy, True), THOUSANDTHS)
+add("avg_double_raster", fractional("raster"), HUNDREDTHS.replace(exact_sql("lineitem", X.STARS), raster_sql("lineitem", X.STARS, G.Grid(X.STARS.bounds(), 128, 128))))
+
 # Filters.
 for name, filters in {
     "filter_eq": [("line", "=", 1)], "filter_lt": [("quantity", "<", 10)], "filter_lte": [("quantity", "<=", 10)], "filter_gt": [("tax", ">", 4)],
@@ -109,7 +126,7 @@ CELL = G.pixel_size(500, 1.0)
 add("raster_epsilon", lambda s, d: build(s, d, pixel=CELL).run("raster"), raster_sql("lineitem", X.STARS, G.canvas(X.STARS.bounds(), CELL)))
 add("raster_filtered", lambda s, d: build(s, d, canvas_pixels=(128, 128)).where(("quantity", "<", 10)).run("raster"), raster_sql("lineitem", X.STARS, G.Grid(X.STARS.bounds(), 128, 128), "quantity < 10"))
 CANVAS = G.Grid(X.STARS.bounds(), 128, 128)
-add("raster_pixels", lambda s, d: pixels(X.points(s, d, "lineitem"), CANVAS), pixels_sql("lineitem", CANVAS))
+add("raster_pixels", lambda s, d: pixels(X.points(s, d, "lineitem"), CANVAS).drop("n_v"), pixels_sql("lineitem", CANVAS))
 
 
 # The index, borders and ranges.
@@ -174,8 +191,11 @@ IN_BOX = " AND ".join(f"{c} BETWEEN {a} AND {b}" for c, a, b in zip("xyt", LOW,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset, as in tests, a folder of this machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='polyagg-')}").rstrip("/") + f"/points-{uuid.uuid4().hex[:12]}"
+    """spark.checkpoint.dir; where it is unset and Spark is one process, as in tests, a folder of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return (found or f"file://{tempfile.mkdtemp(prefix='polyagg-')}").rstrip("/") + f"/points-{uuid.uuid4().hex[:12]}"
 
 
 def index_scan_box(spark: SparkSession, sf_dir: str) -> DataFrame:

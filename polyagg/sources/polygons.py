@@ -43,8 +43,10 @@ class Polygons:
         return spark.createDataFrame([(p,) for p in self.rings], "poly_id int")
 
     def bounds(self) -> Bounds:
-        xs, ys = zip(*(p for parts in self.rings.values() for ring in parts for p in ring), strict=True)
-        return Bounds(float(min(xs)), float(min(ys)), float(max(xs)), float(max(ys)))
+        """Of all points; an axis without extent, as of no polygons at all, is taken as 1 wide."""
+        points = [p for parts in self.rings.values() for ring in parts for p in ring] or [(0.0, 0.0)]
+        (x0, x1), (y0, y1) = ((float(min(v)), float(max(v))) for v in zip(*points, strict=True))
+        return Bounds(x0, y0, x1 if x1 > x0 else x0 + 1, y1 if y1 > y0 else y0 + 1)
 
     def projected(self) -> Polygons:
         """Rings of (latitude, longitude) on the plane around the middle of the box.  A polygon with a point outside the box

@@ -11,7 +11,9 @@ from polyagg.plans.query import SpatialAggregation
 
 def windowed_counts(points: DataFrame, query: SpatialAggregation, time: str, width: str, late: str) -> DataFrame:
     """(window_start, poly_id, cnt) of streamed points (x, y, time): each is joined with the index, which does not change, and
-    counted in its window; rows later than `late` behind the latest are dropped.  Also runs on a table that is no stream."""
+    counted in its window.  In the output modes append and update, rows later than `late` behind the latest are dropped, and so are
+    the counts kept for their windows; in complete mode Spark keeps all windows, and late rows count.  Also runs on a table that is no
+    stream."""
     edges = query.polygons.edges(points.sparkSession)
     if points.isStreaming:
         points = points.withWatermark(time, late)

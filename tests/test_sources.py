@@ -134,3 +134,32 @@ def test_odd_points(spark):
         assert out[7] == (0, 0) and out[0] == (2, 5)
     empty = df.limit(0)
     assert SpatialAggregation(empty, X.TOY).run().collect()[0].cnt == 0
+
+
+def test_fractional_values(spark):
+    rows = [(5.15, 5.15, 0.9), (5.15, 5.15, 1.8), (5.12, 5.12, 0.7), (5.0, 5.0, None), (5.0, 5.0, float("nan")), (5.0, 5.0, 2.5)]
+    df = spark.createDataFrame(rows, "x double, y double, miles double")
+    for strategy in ("index", "nested", "hybrid", "raster"):
+        q = SpatialAggregation(df, X.TOY, F.col("miles"), canvas_pixels=(30, 30), scale=1)
+        out = {r.poly_id: (r.cnt, float(r.sum_v), round(r.avg_v, 9)) for r in q.run(strategy).collect()}
+        assert out == {0: (3, 3.4, 1.133333333), 1: (3, 2.5, 2.5)}, strategy
+    with pytest.raises(ValueError):
+        SpatialAggregation(df, X.TOY, F.col("miles")).run()
+
+
+def test_empty_and_flat_polygons(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 1)], "x double, y double, v long")
+    flat = P.Polygons({0: [[(0.0, 1.0), (5.0, 1.0), (2.0, 1.0)]], 1: [[(3.0, 1.0)]]})
+    for strategy in ("index", "nested", "hybrid"):
+        assert SpatialAggregation(df, P.Polygons(), F.col("v"), canvas_pixels=(4, 4)).run(strategy).collect() == []
+        assert sorted((r.poly_id, r.cnt) for r in SpatialAggregation(df, flat, F.col("v"), canvas_pixels=(4, 4)).run(strategy).collect()) == [(0, 0), (1, 0)]
+
+
+def test_saved_index(spark, tmp_path):
+    from polyagg.operators.index import grid_index
+
+    points = X.points(spark, "/root/testdata/sf0.001", "lineitem")
+    q = SpatialAggregation(points, X.STARS, F.col("v"))
+    store.save_index(grid_index(X.STARS.edges(spark), q.index_grid()), f"file://{tmp_path}/index")
+    again = SpatialAggregation(points, X.STARS, F.col("v"), index=store.load_index(spark, f"file://{tmp_path}/index"))
+    assert sorted(map(tuple, again.run().collect())) == sorted(map(tuple, q.run().collect()))
