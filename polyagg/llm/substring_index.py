@@ -135,8 +135,10 @@ class FingerprintIndex:
         # a span's first document may hold it several times
         again = seen.join(mixed, ["anchor", "span"]).where("doc_id = at.doc_id").select("doc_id", "text_key", "first", "end")
         doubtful = mixed.select("at.*").unionByName(again).distinct()
-        out = self.space.stage(covered, "covered", large=True).unionByName(self._verified(hashes, self.space.stage(doubtful, "doubtful")))
+        covered, doubtful = self.space.stage(covered, "covered"), self.space.stage(doubtful, "doubtful", large=True)
         self.space.drop(seen, classes)
+        out = covered.unionByName(self._verified(hashes, doubtful))
+        self.space.drop(doubtful)
         self.words.append(hashes)
         self.runs[0].append(own)
         self._compact()
