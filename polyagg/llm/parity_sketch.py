@@ -19,6 +19,8 @@ SHINGLE = 5
 BLOCKS, LISTED, BITS = 96, 8, 1024
 #: Sets, and elements of sets, that make a part of a component when its links are counted.
 PART_SETS, PART_ELEMENTS = 2048, 1_000_000
+#: Nodes of a crowded block's main component that a task compares with the block's other nodes.
+SLICE = 4096
 #: The share of a large set's compared blocks of one band that must be common for it to be compared by sketches: a link that no
 #: listed block shows agrees in common blocks of its band alone, ten or more of 96 (see block_sketches).
 COMMON = 0.1
@@ -228,24 +230,24 @@ def _similar(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node, n, root, bits) sorted by sig: of each block, for each node outside its most frequent component, the
-    `top` nearest by sketch among those in that component, and among those in none of the two; more: whether there were others."""
-
-    def group(rows) -> pa.RecordBatch:
-        node, n, root = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:3])
-        values, where, counts = np.unique(root, return_inverse=True, return_counts=True)
-        bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(-1, BITS // 64)
-        main = where == counts.argmax()
+    """Rows (sig, at, node, n, root, main, home, bits) sorted by the first two, block and slice: for each node outside the block's
+    component `main`, the `top` nearest by sketch in that component, and among nodes outside that are at home in the slice;
+    more: whether there were others.  One block's slice is held, and one batch."""
+    names = ("sig", "at", "node", "n", "root", "main", "home")
+
+    def group(rows) -> tuple[np.ndarray, ...]:
+        _, _, node, n, root, main, home, bits = (np.concatenate(x) for x in zip(*rows, strict=True))
+        inner = root == main
         a, b, further = [], [], []
-        outside = np.flatnonzero(~main)
+        outside = np.flatnonzero(~inner)
         for at in range(0, len(outside), 64):
             own = outside[at : at + 64]
             far = np.empty((len(own), len(node)), np.float32)
             for k in range(0, len(node), 4096):
                 far[:, k : k + 4096] = np.bitwise_count(bits[own, None] ^ bits[None, k : k + 4096]).sum(2)
-            both = n[own, None] + n[None]
+            both = n[own, None].astype(np.int64) + n[None]
             far = np.where((7 * far <= both) & _alike(n[own, None], n[None]) & (root[own, None] != root[None]), far / both, np.inf)
-            for among in (main, ~main):
+            for among in (inner, ~inner & home):
                 cut = np.where(among[None], far, np.inf)
                 k = min(top, cut.shape[1])
                 best = np.argpartition(cut, k - 1, 1)[:, :k]
@@ -253,19 +255,30 @@ def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 a.append(node[own[i]])
                 b.append(node[best[i, j]])
                 further.append(((cut < np.inf).sum(1) > k)[i])
-        a, b, further = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, further))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(further.astype(bool))], names=["a", "b", "more"])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return np.minimum(a, b), np.maximum(a, b), np.concatenate(further) if further else np.zeros(0, bool)
 
-    held, name = [], None
+    def whole(found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "more"])
+
+    held, found = [], []
     for batch in batches:
-        for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "node", "n", "root", "bits")), strict=True):
-            if sig != name:
-                if held:
-                    yield group(held)
-                held, name = [], sig
-            held.append(row)
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        columns.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64))
+        sig, at = columns[:2]
+        first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])])).tolist()
+        for i, j in zip(first, [*first[1:], len(sig)], strict=True):
+            if held and (held[0][0][0], held[0][1][0]) != (sig[i], at[i]):
+                found.append(group(held))
+                held = []
+            held.append([x[i:j] for x in columns])
+        if found:
+            yield whole(found)
+            found = []
     if held:
-        yield group(held)
+        yield whole([group(held)])
 
 
 def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,14 +327,30 @@ def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield counted(held, *name[1:])
 
 
-def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None = BLOCKS) -> DataFrame:
+def _link_counts(space: Workspace, percent: int, crowd: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, n_links: links of nodes of the crowd among each other by comparing parts of components, all others as listed."""
+    dense = space.stage(crowd.select("node").distinct().join(roots, "node").join(nodes.select("node", "n"), "node"), "dense")
+    many = dense.groupBy("root").agg(F.greatest(F.ceil(F.count("n") / PART_SETS), F.ceil(F.sum(F.col("n").cast("long")) / PART_ELEMENTS)).cast("int").alias("parts"))
+    dealt = dense.join(many, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(37)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    dealt = dealt.select("root", "low", "high", "part", "node").join(sets, "node")
+    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    inner = dealt.mapInArrow(lambda x: _degrees(percent, x), "node long, n_links long")
+    # of the listed links, those of two such nodes are among the counted
+    in_crowd = dense.select(F.col("node").alias("b")).withColumn("both", F.lit(1))
+    listed = links.join(dense.select(F.col("node").alias("a")).withColumn("one", F.lit(1)), "a", "left").join(in_crowd, "b", "left").where("one IS NULL OR both IS NULL")
+    ends = listed.select(F.explode(F.array("a", "b")).alias("node")).withColumn("n_links", F.lit(1).cast("long"))
+    return ends.unionByName(inner).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None = BLOCKS, count_links: bool = True) -> DataFrame:
     """doc_id, text_key (the text's checksum), n_shingles, node, class_id, root, component_id, n_links for each row of docs.
 
     A text's set is its distinct shingles of 5 words (runs of bytes other than ASCII white space, A-Z lower-cased), of
     fewer words all of them as one; rows of equal sets are one node, the class.  Nodes are linked when 100 * intersection
     >= percent * union, percent 75 or more.  class_id is the smallest doc_id of the class, root the component's smallest node and
     component_id the smallest doc_id reached by links; texts without words (null, empty) have no set, no class, and are linked with
-    nothing.  n_links is how many other classes the class is linked with.
+    nothing.  n_links is how many other classes the class is linked with; count_links=False leaves it and step (4) out.
 
     (1) Sets become block sketches and a bit sketch.  (2) Nodes that share a block of LISTED nodes or fewer are paired; bit
     sketches and then the sets themselves decide.  (3) A node could agree with another in blocks alone that more nodes share, if
@@ -355,17 +384,15 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
     near = met.where("sig IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
     near = space.stage(near.mapInArrow(_near, "a long, b long"), "near")
 
-    common = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("node")).distinct()
     # by band: sets near a power of two have blocks of two, and a link may agree in those of one alone
-    common = common.withColumn("is_odd", F.col("sig") < 0)
+    common = met.where("sig IS NOT NULL").groupBy(F.col("a").alias("node"), (F.col("sig") < 0).alias("is_odd")).agg(F.collect_set("sig").alias("shared"))
     filled = F.when(F.col("is_odd"), F.col("odd")).otherwise(F.octet_length("sigs") / 8 - F.col("odd"))
     proven = F.greatest(F.lit(1), filled - F.floor(F.col("n") / 3))
     enough = F.when(F.col("n") < 64, proven).otherwise(proven if blocks is None else COMMON * filled)
-    heavy = common.groupBy("node", "is_odd").count().join(nodes, "node").where(F.col("count") >= enough)
-    heavy = heavy.select("node", "is_odd", "n", F.when(F.col("is_odd"), F.col("odd_end")).otherwise(F.col("even_end")).alias("end"))
+    heavy = common.join(nodes, "node").where(F.size("shared") >= enough).withColumn("end", F.when(F.col("is_odd"), F.col("odd_end")).otherwise(F.col("even_end")))
     # half of 96 blocks fail to show a pair with a chance of 1e-9; where all blocks are compared, a prefix of them shows it
-    prefix = "sig <= end" if blocks is None else "IF(n < 64, sig <= end, sig & 1 = 0)"
-    crowd = common.join(heavy, ["node", "is_odd"]).where(prefix).select("sig", "node", "n")
+    prefix = "s <= end" if blocks is None else "IF(n < 64, s <= end, s & 1 = 0)"
+    crowd = heavy.select("node", "n", "bits", F.expr(f"filter(shared, s -> {prefix})").alias("sigs")).where(F.size("sigs") > 0)
     crowd = space.stage(crowd, "crowd")
     space.drop(met)
 
@@ -382,58 +409,55 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         return space.stage(pairs.select("a", "b", "set_a", "set_b").mapInArrow(lambda x: _similar(percent, x), "a long, b long"), "links")
 
     links, tested, top, part = verified(near), near, 8, 8
-    groups = crowd.count()
+    groups = not crowd.isEmpty()
     if groups:
-        # each node with the smallest of most of its blocks: most of a family is one component after that
-        leader = crowd.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("first"))
-        led = crowd.join(leader, "sig").where("node <> first.node AND 4 * least(n, first.n) >= 3 * greatest(n, first.n)")
+        # each node with the smallest of most of its first blocks: most of a family may be one component after that
+        few = crowd.select(F.explode(F.slice(F.array_sort("sigs"), 1, 8)).alias("sig"), "node", "n")
+        leader = few.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("first"))
+        led = few.join(leader, "sig").where("node <> first.node AND 4 * least(n, first.n) >= 3 * greatest(n, first.n)")
         led = led.groupBy("node", F.col("first.node").alias("to")).count().groupBy("node").agg(F.max(F.struct("count", "to")).alias("one"))
         led = led.select(F.least("node", "one.to").alias("a"), F.greatest("node", "one.to").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
         led = space.stage(led, "led")
         links, tested = links.unionByName(verified(led)), tested.unionByName(led)
-    # between rounds two rounds of contraction do: labels that differ within a component only cost tests
-    roots = space.stage(components(links, space, 2), "roots")
+        # between rounds two rounds of contraction do: labels that differ within a component only cost tests
+        roots = space.stage(components(links, space, 2), "roots")
     while groups:
-        labelled = space.stage(crowd.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root")), "labelled")
-        several = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
+        labelled = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # an eighth of the blocks joins most of a group; whatever it leaves apart is then compared in all of them
-        some = labelled.join(several, "sig", "left_semi").where(f"pmod(shiftright(sig, 1), {part}) = 0").join(sketches.select("node", "bits"), "node")
-        pairs = some.repartition("sig").sortWithinPartitions("sig").mapInArrow(lambda x, t=top: _contenders(t, x), "a long, b long, more boolean")
+        labelled = labelled.withColumn("sig", F.explode(F.expr(f"filter(sigs, s -> pmod(shiftright(s, 1), {part}) = 0)")))
+        met = labelled.groupBy("sig", "root").count().groupBy("sig")
+        several = met.agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("rows"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
+        several = several.select("sig", F.col("main.root").alias("main"), F.ceil(F.col("rows") / SLICE).cast("int").alias("slices"))
+        # a block of many nodes is dealt to slices: its main component's nodes to one each, the others to all
+        some = labelled.select("sig", "node", "n", "root", "bits").join(several, "sig").withColumn("own", F.pmod(F.xxhash64("node", F.lit(41)), F.col("slices")).cast("int"))
+        some = some.withColumn("at", F.explode(F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))))
+        some = some.select("sig", "at", "node", "n", "root", "main", (F.col("at") == F.col("own")).alias("home"), "bits")
+        pairs = some.repartition("sig", "at").sortWithinPartitions("sig", "at").mapInArrow(lambda x, t=top: _contenders(t, x), "a long, b long, more boolean")
         pairs = space.stage(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "contenders")
-        space.drop(labelled)
         fresh = space.stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            if part > 1:
-                part = 1
-            elif pairs.where("more").isEmpty():
-                break
-            else:
-                top *= 8
-            continue
         new = verified(fresh)
         tested = tested.unionByName(fresh)
         if not new.isEmpty():
             links = links.unionByName(new)
             roots = space.stage(components(links, space, 2), "roots")
+            part = 1
+        elif part > 1:
+            part = 1
+        elif pairs.where("more").isEmpty():
+            break
+        else:
+            top *= 64
     roots = components(links, space)
     roots = space.stage(roots, "roots")
-    dense = space.stage(crowd.select("node").distinct().join(roots, "node").join(nodes.select("node", "n"), "node"), "dense")
-    many = dense.groupBy("root").agg(F.greatest(F.ceil(F.count("n") / PART_SETS), F.ceil(F.sum(F.col("n").cast("long")) / PART_ELEMENTS)).cast("int").alias("parts"))
-    dealt = dense.join(many, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(37)), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    dealt = dealt.select("root", "low", "high", "part", "node").join(sets, "node")
-    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-    inner = dealt.mapInArrow(lambda x: _degrees(percent, x), "node long, n_links long")
-    # of the listed links, those of two such nodes are among the counted
-    in_crowd = dense.select(F.col("node").alias("b")).withColumn("both", F.lit(1))
-    listed = links.join(dense.select(F.col("node").alias("a")).withColumn("one", F.lit(1)), "a", "left").join(in_crowd, "b", "left").where("one IS NULL OR both IS NULL")
-    ends = listed.select(F.explode(F.array("a", "b")).alias("node")).withColumn("n_links", F.lit(1).cast("long"))
-    degree = ends.unionByName(inner).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    counted = ["n_links"] if count_links else []
+    degree = _link_counts(space, percent, crowd, nodes, sets, roots, links) if count_links else None
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(smallest, "root").join(degree, "node", "left").select("node", F.col("least").alias("class_id"), "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    labelled = labelled.join(smallest, "root").select("node", F.col("least").alias("class_id"), "root", "component_id")
+    if count_links:
+        labelled = labelled.join(degree, "node", "left")
     out = made.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    out = out.join(labelled, "node", "left").select("doc_id", "text_key", "n_shingles", "node", "class_id", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.join(labelled, "node", "left").select("doc_id", "text_key", "n_shingles", "node", "class_id", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counted))
     out = Workspace(docs.sparkSession, "classes").stage(out, "classes", large=True)
     space.close()
     return out
@@ -443,7 +467,7 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (null counts as largest), of equal ids that of the
     smallest checksum.  Rows without words are linked with nothing and stay."""
     known = lambda df: df.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
-    found = known(similar_components(docs, percent).where("n_shingles > 0"))
+    found = known(similar_components(docs, percent, count_links=False).where("n_shingles > 0"))
     first = found.groupBy("root").agg(F.min(F.struct("_none", "_id", "text_key")).alias("one")).select("one.*")
     keys = ["_none", "_id", "text_key"]
     rows = known(docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))))
