@@ -21,6 +21,8 @@ BLOCKS, LISTED, BITS = 96, 8, 1024
 PART_SETS, PART_ELEMENTS = 2048, 1_000_000
 #: Nodes of a crowded block's main component that a task compares with the block's other nodes.
 SLICE = 4096
+#: Pairs that a task gathers before it sends them on.
+FOUND = 500_000
 #: The share of a large set's compared blocks of one band that must be common for it to be compared by sketches: a link that no
 #: listed block shows agrees in common blocks of its band alone, ten or more of 96 (see block_sketches).
 COMMON = 0.1
@@ -232,7 +234,7 @@ def _similar(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sig, at, node, n, root, main, home, bits) sorted by the first two, block and slice: for each node outside the block's
     component `main`, the `top` nearest by sketch in that component, and among nodes outside that are at home in the slice;
-    more: whether there were others.  One block's slice is held, and one batch."""
+    more: whether there were others.  One block's slice is held, one batch, and FOUND pairs, which go out once."""
     names = ("sig", "at", "node", "n", "root", "main", "home")
 
     def group(rows) -> tuple[np.ndarray, ...]:
@@ -259,9 +261,13 @@ def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         return np.minimum(a, b), np.maximum(a, b), np.concatenate(further) if further else np.zeros(0, bool)
 
     def whole(found) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "more"])
+        a, b, further = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((~further, b, a))
+        a, b, further = a[order], b[order], further[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else []
+        return pa.RecordBatch.from_arrays([pa.array(x[fresh]) for x in (a, b, further)], names=["a", "b", "more"])
 
-    held, found = [], []
+    held, found, pairs = [], [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -272,13 +278,13 @@ def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         for i, j in zip(first, [*first[1:], len(sig)], strict=True):
             if held and (held[0][0][0], held[0][1][0]) != (sig[i], at[i]):
                 found.append(group(held))
-                held = []
+                held, pairs = [], pairs + len(found[-1][0])
             held.append([x[i:j] for x in columns])
-        if found:
-            yield whole(found)
-            found = []
+            if pairs >= FOUND:
+                yield whole(found)
+                found, pairs = [], 0
     if held:
-        yield whole([group(held)])
+        yield whole([*found, group(held)])
 
 
 def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +429,7 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         roots = space.stage(components(links, space, 2), "roots")
     while groups:
         labelled = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # an eighth of the blocks joins most of a group; whatever it leaves apart is then compared in all of them
+        # an eighth of the blocks, and two of the nearest, join most of a group; whatever that leaves apart is compared in all
         labelled = labelled.withColumn("sig", F.explode(F.expr(f"filter(sigs, s -> pmod(shiftright(s, 1), {part}) = 0)")))
         met = labelled.groupBy("sig", "root").count().groupBy("sig")
         several = met.agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("rows"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
@@ -432,7 +438,7 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         some = labelled.select("sig", "node", "n", "root", "bits").join(several, "sig").withColumn("own", F.pmod(F.xxhash64("node", F.lit(41)), F.col("slices")).cast("int"))
         some = some.withColumn("at", F.explode(F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))))
         some = some.select("sig", "at", "node", "n", "root", "main", (F.col("at") == F.col("own")).alias("home"), "bits")
-        pairs = some.repartition("sig", "at").sortWithinPartitions("sig", "at").mapInArrow(lambda x, t=top: _contenders(t, x), "a long, b long, more boolean")
+        pairs = some.repartition("sig", "at").sortWithinPartitions("sig", "at").mapInArrow(lambda x, t=2 if part > 1 else top: _contenders(t, x), "a long, b long, more boolean")
         pairs = space.stage(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "contenders")
         fresh = space.stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
         new = verified(fresh)
