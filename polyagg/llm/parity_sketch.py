@@ -414,7 +414,7 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return space.stage(pairs.select("a", "b", "set_a", "set_b").mapInArrow(lambda x: _similar(percent, x), "a long, b long"), "links")
 
-    links, tested, top, part = verified(near), near, 8, 8
+    links, tested, top, part = verified(near), near, 128, 8
     groups = not crowd.isEmpty()
     if groups:
         # each node with the smallest of most of its first blocks: most of a family may be one component after that
@@ -443,16 +443,17 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         fresh = space.stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
         new = verified(fresh)
         tested = tested.unionByName(fresh)
-        if not new.isEmpty():
+        joined = not new.isEmpty()
+        if joined:
             links = links.unionByName(new)
-            roots = space.stage(components(links, space, 2), "roots")
-            part = 1
-        elif part > 1:
-            part = 1
-        elif pairs.where("more").isEmpty():
+        # where no node had further ones to test, all that sketches allow between components are tested
+        if part == 1 and pairs.where("more").isEmpty():
             break
-        else:
+        if joined:
+            roots = space.stage(components(links, space, 2), "roots")
+        elif part == 1:
             top *= 64
+        part = 1
     roots = components(links, space)
     roots = space.stage(roots, "roots")
     counted = ["n_links"] if count_links else []
