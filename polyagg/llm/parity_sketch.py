@@ -382,8 +382,8 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
     first = F.min(F.struct("doc_id", *sketch)).alias("one")
     nodes = space.stage(made.where("n > 0").groupBy("node", "key", "n").agg(first, F.min("doc_id").alias("least")).select("node", "n", "least", *(f"one.{c}" for c in sketch)), "nodes", large=True)
 
-    blocks = nodes.select("node", "n", "sigs").mapInArrow(_exploded, "sig long, node long, n int")
-    met = blocks.repartition("sig").sortWithinPartitions("sig").mapInArrow(_collisions, "sig long, a long, b long")
+    shown = nodes.select("node", "n", "sigs").mapInArrow(_exploded, "sig long, node long, n int")
+    met = shown.repartition("sig").sortWithinPartitions("sig").mapInArrow(_collisions, "sig long, a long, b long")
     met = space.stage(met, "met", large=True)
     sketches = nodes.select("node", "n", "bits")
     of = lambda side: sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
