@@ -23,9 +23,9 @@ PART_SETS, PART_ELEMENTS = 2048, 1_000_000
 SLICE = 4096
 #: Pairs that a task gathers before it sends them on.
 FOUND = 500_000
-#: The share of a large set's compared blocks of one band that must be common for it to be compared by sketches: a link that no
-#: listed block shows agrees in common blocks of its band alone, ten or more of 96 (see block_sketches).
-COMMON = 0.1
+#: How many of a large set's 96 compared blocks of one band must be common for it to be compared by sketches: a link that no
+#: listed block shows agrees in common blocks of its band alone, ten or more of them (see block_sketches); of fewer blocks, as large a share.
+COMMON = 10
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +65,8 @@ def block_sketches(value: np.ndarray, own: np.ndarray, size: np.ndarray, blocks:
 
     Sets whose symmetric difference has d elements differ in d blocks at most.  Similarity of 0.75 or more allows
     d <= (|A| + |B|) / 7 <= |A| / 3, fewer than the non-empty blocks, so at least those less |A| / 3 agree.  Of sets of 64
-    elements or more the first `blocks` blocks are compared, None: all.  Of 96, hashes deal elements to blocks at random, so a block agrees and is not empty with a chance of 0.37 or more, and
-    all of 96 fail with one below 1e-18; ten or more agree but with one of about 1e-9.
+    elements or more the first `blocks` blocks are compared, None: all.  Of 96, hashes deal elements to blocks at random, so a block agrees and is not empty with a chance of 0.36 or more, and
+    all of 96 fail with one below 1e-18; fewer than ten agree with one of 2e-9, and none of an even signature with one of 5e-9.
     """
     out_text, out_sig = [], []
     band, lower = bands(size)
@@ -393,12 +393,15 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
     # by band: sets near a power of two have blocks of two, and a link may agree in those of one alone
     common = met.where("sig IS NOT NULL").groupBy(F.col("a").alias("node"), (F.col("sig") < 0).alias("is_odd")).agg(F.collect_set("sig").alias("shared"))
     filled = F.when(F.col("is_odd"), F.col("odd")).otherwise(F.octet_length("sigs") / 8 - F.col("odd"))
-    proven = F.greatest(F.lit(1), filled - F.floor(F.col("n") / 3))
-    enough = F.when(F.col("n") < 64, proven).otherwise(proven if blocks is None else COMMON * filled)
-    heavy = common.join(nodes, "node").where(F.size("shared") >= enough).withColumn("end", F.when(F.col("is_odd"), F.col("odd_end")).otherwise(F.col("even_end")))
-    # half of 96 blocks fail to show a pair with a chance of 1e-9; where all blocks are compared, a prefix of them shows it
-    prefix = "s <= end" if blocks is None else "IF(n < 64, s <= end, s & 1 = 0)"
-    crowd = heavy.select("node", "n", "bits", F.expr(f"filter(shared, s -> {prefix})").alias("sigs")).where(F.size("sigs") > 0)
+    # bands below 6 have all their blocks: those of sets under 64, and the lower (odd) one of sets under 128
+    whole = F.lit(True) if blocks is None else (F.col("n") < 64) | (F.col("n") < 128) & F.col("is_odd")
+    enough = F.when(whole, F.greatest(F.lit(1), filled - F.floor(F.col("n") / 3))).otherwise(int(COMMON * min(blocks or BLOCKS, BLOCKS) / BLOCKS))
+    heavy = common.join(nodes, "node").withColumns({"whole": whole, "agree": enough.cast("int")}).where(F.size("shared") >= F.greatest(F.lit(1), F.col("agree")))
+    heavy = heavy.withColumn("end", F.when(F.col("is_odd"), F.col("odd_end")).otherwise(F.col("even_end")))
+    # of 96 blocks, the half with even signatures fails to show a pair with a chance of 5e-9; all blocks show it in a prefix.  As `agree`
+    # of the shared signatures or more agree, the smallest that does is not among the last agree - 1 either
+    chosen = F.expr("slice(array_sort(filter(shared, s -> IF(whole, s <= end, s & 1 = 0))), 1, size(shared) - greatest(1, agree) + 1)")
+    crowd = heavy.select("node", "n", "bits", chosen.alias("sigs")).where(F.size("sigs") > 0)
     crowd = space.stage(crowd, "crowd")
     space.drop(met)
 
@@ -414,7 +417,7 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return space.stage(pairs.select("a", "b", "set_a", "set_b").mapInArrow(lambda x: _similar(percent, x), "a long, b long"), "links")
 
-    links, tested, top, part = verified(near), near, 128, 8
+    links, tested, top, part = verified(near), near, 128, 16
     groups = not crowd.isEmpty()
     if groups:
         # each node with the smallest of most of its first blocks: most of a family may be one component after that
@@ -429,7 +432,7 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         roots = space.stage(components(links, space, 2), "roots")
     while groups:
         labelled = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # an eighth of the blocks, and two of the nearest, join most of a group; whatever that leaves apart is compared in all
+        # a sixteenth of the blocks, and two of the nearest, join most of a group; whatever that leaves apart is compared in all
         labelled = labelled.withColumn("sig", F.explode(F.expr(f"filter(sigs, s -> pmod(shiftright(s, 1), {part}) = 0)")))
         met = labelled.groupBy("sig", "root").count().groupBy("sig")
         several = met.agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("rows"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
