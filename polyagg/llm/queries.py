@@ -78,5 +78,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+SQL = {}
+
+#: Every 50-byte string of every text, as hex digits; texts are cut into overlapping pieces first, as substr() walks from the beginning.
+SQL["op1_suffix_dedup"] = r"""
+WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, start, least(512, length(h) // 2 - start) AS own, substr(h, 2 * start + 1, 2 * (512 + 49)) AS part
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 512)) AS start FROM hexed)),
+every AS (SELECT doc_id, start + k AS pos, substr(part, 2 * k - 1, 2) AS byte, CASE WHEN 2 * k + 98 <= length(part) THEN substr(part, 2 * k - 1, 100) END AS win
+    FROM (SELECT doc_id, start, part, unnest(range(1, own + 1)) AS k FROM pieces)),
+firsts AS (SELECT win, min(doc_id) AS least FROM every WHERE win IS NOT NULL GROUP BY win HAVING min(doc_id) < max(doc_id)),
+found AS (SELECT doc_id, pos, byte, coalesce(doc_id > least, false) AS again FROM every LEFT JOIN firsts USING (win)),
+gone AS (SELECT doc_id, pos, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS removed FROM found),
+runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM gone),
+kept AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed, count(*) FILTER (opens) AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY pos) FILTER (NOT removed), '') AS kept FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM hexed LEFT JOIN kept USING (doc_id)
+"""
+
+#: Every window of 50 words, written out.
+SQL["op6_substring_dedup"] = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+said AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM split),
+every AS (SELECT doc_id, pos, word, CASE WHEN count(*) OVER ahead = 50 THEN string_agg(word, ' ') OVER ahead END AS win FROM said
+    WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+firsts AS (SELECT win, min(doc_id) AS least FROM every WHERE win IS NOT NULL GROUP BY win HAVING min(doc_id) < max(doc_id)),
+found AS (SELECT doc_id, pos, word, coalesce(doc_id > least, false) AS again FROM every LEFT JOIN firsts USING (win)),
+gone AS (SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS removed FROM found),
+kept AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed), '') AS kept FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+#: The turns themselves; lengths by the template's marks, where an escaped control string takes three characters.
+SQL["op10_chat_formatting"] = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+placed AS (SELECT *, row_number() OVER turns AS pos, lag(role, 1, '') OVER turns AS state,
+    length(regexp_replace(text, '\[/?SYS\]|\[/?INST\]|</?s>|\[/?ROLE\]|\[BODY\]|\\', '...', 'g')) AS escaped,
+    length(regexp_replace(role, '\[/?SYS\]|\[/?INST\]|</?s>|\[/?ROLE\]|\[BODY\]|\\', '...', 'g')) AS escaped_role
+    FROM said WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+judged AS (SELECT *, escaped + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + escaped_role END AS chars,
+    CASE WHEN NOT (role = 'user' AND state IN ('', 'system', 'assistant') OR role = 'system' AND state = '' OR role = 'assistant' AND state = 'user')
+    THEN coalesce(nullif(role, ''), 'no role') || ' after ' || coalesce(nullif(state, ''), 'start') END AS problem FROM placed),
+whole AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars, arg_min(problem, pos) FILTER (problem IS NOT NULL) AS broken, arg_max(role, pos) AS last
+    FROM judged GROUP BY conv_id),
+named AS (SELECT *, coalesce(broken, CASE WHEN last <> 'assistant' THEN 'ends with ' || coalesce(nullif(last, ''), 'no role') END) AS problem FROM whole)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, problem IS NULL AS valid, problem FROM named
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
