@@ -98,6 +98,26 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
 FROM hexed LEFT JOIN kept USING (doc_id)
 """
 
+#: All pairs of classes that share a shingle, and everything that links reach.
+SQL["op2_similarity_join"] = r"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+said AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM split),
+runs AS (SELECT doc_id, pos, string_agg(word, ' ') OVER ahead AS shingle, count(*) OVER ahead AS words FROM said
+    WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+sets AS (SELECT DISTINCT doc_id, shingle FROM runs WHERE words = 5 OR pos = 1),
+named AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS name FROM sets GROUP BY doc_id),
+classed AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY name) AS class_id FROM named),
+base AS (SELECT doc_id, n, shingle FROM classed JOIN sets USING (doc_id) WHERE doc_id = class_id),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM base x JOIN base y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+    GROUP BY x.doc_id, x.n, y.doc_id, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM classed WHERE doc_id = class_id UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+lowest AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a AS class_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, class_id, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN classed USING (doc_id) LEFT JOIN lowest USING (class_id) LEFT JOIN degree USING (class_id)
+"""
+
 #: Every window of 50 words, written out.
 SQL["op6_substring_dedup"] = r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
