@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ SHINGLE = 5
 BLOCKS, LISTED, BITS = 96, 8, 1024
 #: Sets, and elements of sets, that make a part of a component when its links are counted.
 PART_SETS, PART_ELEMENTS = 2048, 1_000_000
-#: Nodes of a crowded block's main component that a task compares with the block's other nodes.
+#: Nodes of a crowded block's (or of several blocks') main component that a task compares with the other nodes there.
 SLICE = 4096
+#: How many comparisons of two sketches cost about as much as bringing one sketch to a task.
+ROW_COST = 100
 #: Pairs that a task gathers before it sends them on.
 FOUND = 500_000
 #: How many of a large set's 96 compared blocks of one band must be common for it to be compared by sketches: a link that no
@@ -232,8 +235,8 @@ def _similar(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, at, node, n, root, main, home, bits) sorted by the first two, block and slice: for each node outside the block's
-    component `main`, the `top` nearest by sketch in that component, and among nodes outside that are at home in the slice;
+    """Rows (sig, at, node, n, root, main, home, bits) sorted by the first two, block (or main component, for all of its blocks) and
+    slice: for each node outside the block's component `main`, the `top` nearest by sketch in that component, and among nodes outside that are at home in the slice;
     more: whether there were others.  One block's slice is held, one batch, and FOUND pairs, which go out once."""
     names = ("sig", "at", "node", "n", "root", "main", "home")
 
@@ -287,6 +290,49 @@ def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield whole([*found, group(held)])
 
 
+def _held(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (root, sigs), how many of a batch's nodes of each component are in each block; of one in `part` blocks, a power of two."""
+    for batch in batches:
+        sigs = batch.column("sigs")
+        own = np.repeat(batch.column("root").to_numpy(), pc.list_value_length(sigs).to_numpy())
+        sig = pc.list_flatten(sigs).to_numpy()
+        some = np.flatnonzero((sig >> 1 & (part - 1)) == 0)
+        order = some[np.lexsort((own[some], sig[some]))]
+        sig, own = sig[order], own[order]
+        first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])) if len(sig) else order
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[first], own[first], np.diff(np.append(first, len(sig))))], names=["sig", "root", "count"])
+
+
+def _dealt(space: Workspace, labelled: DataFrame, part: int) -> DataFrame:
+    """sig, at, node, root, main, home: which nodes meet in which slice, from rows (node, root, sigs) with the crowded blocks of each
+    node, of which one in `part` is taken.
+
+    In a block that holds several components, nodes outside the largest, its main one, are to be compared with all others.  Near
+    copies share dozens of blocks, and each would bring a node along.  So all blocks of a main component are taken together (sig
+    is that component then): its nodes and those of all components that it meets come once.  Where this costs more than block by
+    block, as where components have few blocks in common, each block is taken by itself.  Either way every two nodes of a block meet.
+    """
+    held = space.stage(labelled.select("root", "sigs").mapInArrow(lambda x: _held(part, x), "sig long, root long, count long").groupBy("sig", "root").agg(F.sum("count").alias("count")), "held")
+    most = held.groupBy("sig").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("rows"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
+    several = space.stage(most.select("sig", F.col("most.root").alias("main"), "rows", F.expr("rows * (rows - most.count)").alias("tests")), "several")
+    owned = labelled.select("node", "root").distinct()
+    sizes = owned.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    meets = space.stage(held.join(several.select("sig", "main"), "sig").select("main", "root").distinct(), "meets")  # the main one too
+    costs = meets.join(sizes, "root").groupBy("main").agg(F.sum("size").alias("nodes"), F.sum(F.when(F.col("root") != F.col("main"), F.col("size"))).alias("outside"))
+    costs = costs.join(several.groupBy("main").agg(F.sum("rows").alias("rows"), F.sum("tests").alias("tests")), "main")
+    slices = lambda size: F.ceil(F.col(size) / SLICE).cast("int").alias("slices")
+    together = costs.where(F.expr(f"nodes * (outside + {ROW_COST}) <= tests + {ROW_COST} * rows")).select("main", slices("nodes"))
+    together = space.stage(together, "together")
+    rows = meets.join(together, "main").join(owned, "root").select(F.col("main").alias("sig"), "node", "root", "main", "slices")
+    single = space.stage(several.join(together, "main", "left_anti").select("sig", "main", slices("rows")), "single")
+    inside = labelled.join(held.join(single, "sig").select("root").distinct(), "root").select("node", "root", F.explode(F.expr(f"filter(sigs, s -> pmod(shiftright(s, 1), {part}) = 0)")).alias("sig"))
+    rows = rows.unionByName(inside.join(single, "sig").select("sig", "node", "root", "main", "slices"))
+    # many nodes are dealt to slices: the main component's to one each, the others to all
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(41)), F.col("slices")).cast("int"))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))))
+    return rows.select("sig", "at", "node", "root", "main", (F.col("at") == F.col("own")).alias("home"))
+
+
 def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (root, low, high, part, node, set) sorted by the first three: how many links each node has with nodes of the
     group's other part, or inside its only one."""
@@ -420,6 +466,7 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
     links, tested, top, part = verified(near), near, 128, 16
     groups = not crowd.isEmpty()
     if groups:
+        outlines = space.stage(crowd.select("node", "n", "bits").dropDuplicates(["node"]), "outlines")
         # each node with the smallest of most of its first blocks: most of a family may be one component after that
         few = crowd.select(F.explode(F.slice(F.array_sort("sigs"), 1, 8)).alias("sig"), "node", "n")
         leader = few.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("first"))
@@ -431,16 +478,9 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         # between rounds two rounds of contraction do: labels that differ within a component only cost tests
         roots = space.stage(components(links, space, 2), "roots")
     while groups:
-        labelled = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        labelled = crowd.select("node", "sigs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # a sixteenth of the blocks, and two of the nearest, join most of a group; whatever that leaves apart is compared in all
-        labelled = labelled.withColumn("sig", F.explode(F.expr(f"filter(sigs, s -> pmod(shiftright(s, 1), {part}) = 0)")))
-        met = labelled.groupBy("sig", "root").count().groupBy("sig")
-        several = met.agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("rows"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
-        several = several.select("sig", F.col("main.root").alias("main"), F.ceil(F.col("rows") / SLICE).cast("int").alias("slices"))
-        # a block of many nodes is dealt to slices: its main component's nodes to one each, the others to all
-        some = labelled.select("sig", "node", "n", "root", "bits").join(several, "sig").withColumn("own", F.pmod(F.xxhash64("node", F.lit(41)), F.col("slices")).cast("int"))
-        some = some.withColumn("at", F.explode(F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))))
-        some = some.select("sig", "at", "node", "n", "root", "main", (F.col("at") == F.col("own")).alias("home"), "bits")
+        some = _dealt(space, labelled, part).join(outlines, "node").select("sig", "at", "node", "n", "root", "main", "home", "bits")
         pairs = some.repartition("sig", "at").sortWithinPartitions("sig", "at").mapInArrow(lambda x, t=2 if part > 1 else top: _contenders(t, x), "a long, b long, more boolean")
         pairs = space.stage(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "contenders")
         fresh = space.stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")

@@ -184,3 +184,23 @@ def test_components(spark):
     joined = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {k: v for k, v in root.items() if k in joined}
     assert components(spark.createDataFrame([], "a long, b long"), space).collect() == []
+
+
+def test_crowded_blocks_do_not_bring_a_node_along_with_each(spark, monkeypatch):
+    """200 near copies and 60 texts that share most of their words without being similar."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join([*base, f"own{i}"])) for i in range(200)]
+    docs += [(200 + i, " ".join([*base[:250], *(f"x{i}n{rng.randrange(10**9)}" for _ in range(150))])) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    came, map_in_arrow = [], type(df).mapInArrow
+
+    def counted(self, *args, **more):
+        if "main" in self.columns:
+            came.append(self.count())
+        return map_in_arrow(self, *args, **more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    out = similar_components(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(docs)
+    assert came and max(came) <= 2 * len(docs), came
