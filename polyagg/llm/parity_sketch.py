@@ -20,12 +20,10 @@ SHINGLE = 5
 BLOCKS, LISTED, BITS = 96, 8, 1024
 #: Sets, and elements of sets, that make a part of a component when its links are counted.
 PART_SETS, PART_ELEMENTS = 2048, 1_000_000
-#: Nodes of a crowded block's (or of several blocks') main component that a task compares with the other nodes there.
-SLICE = 4096
-#: How many comparisons of two sketches cost about as much as bringing one sketch to a task.
-ROW_COST = 100
-#: Pairs that a task gathers before it sends them on.
-FOUND = 500_000
+#: Nodes, and elements of their sets, of a crowded block (or of several blocks) that a task compares with as many others there.
+SLICE, SLICE_ELEMENTS = 4096, 2_000_000
+#: How many comparisons of two sketches cost about as much as bringing one set to a task.
+ROW_COST = 400
 #: How many of a large set's 96 compared blocks of one band must be common for it to be compared by sketches: a link that no
 #: listed block shows agrees in common blocks of its band alone, ten or more of them (see block_sketches); of fewer blocks, as large a share.
 COMMON = 10
@@ -234,103 +232,128 @@ def _similar(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
-def _contenders(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, at, node, n, root, main, home, bits) sorted by the first two, block (or main component, for all of its blocks) and
-    slice: for each node outside the block's component `main`, the `top` nearest by sketch in that component, and among nodes outside that are at home in the slice;
-    more: whether there were others.  One block's slice is held, one batch, and FOUND pairs, which go out once."""
-    names = ("sig", "at", "node", "n", "root", "main", "home")
-
-    def group(rows) -> tuple[np.ndarray, ...]:
-        _, _, node, n, root, main, home, bits = (np.concatenate(x) for x in zip(*rows, strict=True))
-        inner = root == main
-        a, b, further = [], [], []
-        outside = np.flatnonzero(~inner)
-        for at in range(0, len(outside), 64):
-            own = outside[at : at + 64]
-            far = np.empty((len(own), len(node)), np.float32)
-            for k in range(0, len(node), 4096):
-                far[:, k : k + 4096] = np.bitwise_count(bits[own, None] ^ bits[None, k : k + 4096]).sum(2)
-            both = n[own, None].astype(np.int64) + n[None]
-            far = np.where((7 * far <= both) & _alike(n[own, None], n[None]) & (root[own, None] != root[None]), far / both, np.inf)
-            for among in (inner, ~inner & home):
-                cut = np.where(among[None], far, np.inf)
-                k = min(top, cut.shape[1])
-                best = np.argpartition(cut, k - 1, 1)[:, :k]
-                i, j = np.nonzero(np.take_along_axis(cut, best, 1) < np.inf)
-                a.append(node[own[i]])
-                b.append(node[best[i, j]])
-                further.append(((cut < np.inf).sum(1) > k)[i])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return np.minimum(a, b), np.maximum(a, b), np.concatenate(further) if further else np.zeros(0, bool)
-
-    def whole(found) -> pa.RecordBatch:
-        a, b, further = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((~further, b, a))
-        a, b, further = a[order], b[order], further[order]
-        fresh = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else []
-        return pa.RecordBatch.from_arrays([pa.array(x[fresh]) for x in (a, b, further)], names=["a", "b", "more"])
-
-    held, found, pairs = [], [], 0
+def _joined(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, at, node, root, main, home, looks, set) sorted by the first two, block (or main component, for all of its blocks)
+    and cell: links that join components.  Every node that looks is compared with the nodes at home in the cell, by sketch and
+    then by the sets themselves, the nearest first; pairs that links found here have joined are left out.  So there are fewer links
+    than nodes, and no other two that are similar stay apart.  One cell's sets and one batch are held."""
+
+    def group(rows) -> tuple[np.ndarray, np.ndarray]:
+        node, root, home, looks, raw = (np.concatenate(x) for x in zip(*rows, strict=True))
+        sets = [np.frombuffer(x, np.uint64) for x in raw]
+        n = np.array([len(x) for x in sets], np.int64)
+        value, own = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+        bits = bit_sketches(value, own, len(n)).view(np.uint64)
+        _, column, seen = np.unique(value, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(seen[column] > 1)  # others meet in no two sets
+        column, first = column[shared], np.searchsorted(own[shared], np.arange(len(n) + 1))
+        mark = np.zeros(len(seen), bool)
+        _, label = np.unique(root, return_inverse=True)
+        a, b = [], []
+        at_home = np.flatnonzero(home)
+        looking = np.flatnonzero(looks)
+        for at in range(0, len(looking), 64):
+            rows = looking[at : at + 64]
+            far = np.empty((len(rows), len(at_home)), np.float32)
+            for k in range(0, len(at_home), 4096):
+                far[:, k : k + 4096] = np.bitwise_count(bits[rows, None] ^ bits[None, at_home[k : k + 4096]]).sum(2)
+            both = n[rows, None] + n[None, at_home]
+            # of two that look at each other here, the first does
+            seen_before = looks[None, at_home] & home[rows, None] & (rows[:, None] > at_home[None])
+            may = (7 * far <= both) & _alike(n[rows, None], n[None, at_home]) & ~seen_before
+            far /= both
+            for i, ok, distance in zip(rows.tolist(), may, far, strict=True):
+                ok = np.flatnonzero(ok & (label[at_home] != label[i]))
+                left = at_home[ok[np.argsort(distance[ok], kind="stable")]]
+                mine, step = column[first[i] : first[i + 1]], 4
+                mark[mine] = True
+                while len(left):
+                    some, left = left[:step], left[step:]
+                    size = first[some + 1] - first[some]
+                    ends = np.cumsum(size)
+                    hits = np.concatenate([[0], np.cumsum(mark[np.concatenate([column[first[j] : first[j + 1]] for j in some])])])
+                    common = hits[ends] - hits[ends - size]
+                    for j in some[100 * common >= percent * (n[i] + n[some] - common)].tolist():
+                        if label[j] != label[i]:
+                            label[label == label[j]] = label[i]
+                            a.append(node[i])
+                            b.append(node[j])
+                    left = left[label[left] != label[i]]
+                    step = min(8 * step, 256)
+                mark[mine] = False
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def links(rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in group(rows)], names=["a", "b"])
+
+    held, name = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        columns.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64))
-        sig, at = columns[:2]
+        sig, at = (batch.column(c).to_numpy() for c in ("sig", "at"))
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "home", "looks", "set")]
         first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])])).tolist()
         for i, j in zip(first, [*first[1:], len(sig)], strict=True):
-            if held and (held[0][0][0], held[0][1][0]) != (sig[i], at[i]):
-                found.append(group(held))
-                held, pairs = [], pairs + len(found[-1][0])
+            if held and name != (sig[i], at[i]):
+                yield links(held)
+                held = []
+            name = sig[i], at[i]
             held.append([x[i:j] for x in columns])
-            if pairs >= FOUND:
-                yield whole(found)
-                found, pairs = [], 0
     if held:
-        yield whole([*found, group(held)])
+        yield links(held)
 
 
 def _held(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (root, sigs), how many of a batch's nodes of each component are in each block; of one in `part` blocks, a power of two."""
+    """Of rows (root, n, sigs), how many of a batch's nodes of each component are in each block, and the elements of their sets; of
+    one in `part` blocks, a power of two."""
     for batch in batches:
         sigs = batch.column("sigs")
-        own = np.repeat(batch.column("root").to_numpy(), pc.list_value_length(sigs).to_numpy())
+        times = pc.list_value_length(sigs).to_numpy()
+        own, n = (np.repeat(batch.column(c).to_numpy(), times) for c in ("root", "n"))
         sig = pc.list_flatten(sigs).to_numpy()
         some = np.flatnonzero((sig >> 1 & (part - 1)) == 0)
         order = some[np.lexsort((own[some], sig[some]))]
-        sig, own = sig[order], own[order]
+        sig, own, n = sig[order], own[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])) if len(sig) else order
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[first], own[first], np.diff(np.append(first, len(sig))))], names=["sig", "root", "count"])
+        elements = np.add.reduceat(n, first) if len(sig) else n
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[first], own[first], np.diff(np.append(first, len(sig))), elements)], names=["sig", "root", "count", "elements"])
 
 
 def _dealt(space: Workspace, labelled: DataFrame, part: int) -> DataFrame:
-    """sig, at, node, root, main, home: which nodes meet in which slice, from rows (node, root, sigs) with the crowded blocks of each
-    node, of which one in `part` is taken.
+    """sig, at, node, root, main, home, looks: which nodes meet in which cell, and which of them look at those at home there, from rows
+    (node, n, root, sigs) with the crowded blocks of each node, of which one in `part` is taken.
 
     In a block that holds several components, nodes outside the largest, its main one, are to be compared with all others.  Near
     copies share dozens of blocks, and each would bring a node along.  So all blocks of a main component are taken together (sig
     is that component then): its nodes and those of all components that it meets come once.  Where this costs more than block by
     block, as where components have few blocks in common, each block is taken by itself.  Either way every two nodes of a block meet.
     """
-    held = space.stage(labelled.select("root", "sigs").mapInArrow(lambda x: _held(part, x), "sig long, root long, count long").groupBy("sig", "root").agg(F.sum("count").alias("count")), "held")
-    most = held.groupBy("sig").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("rows"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
-    several = space.stage(most.select("sig", F.col("most.root").alias("main"), "rows", F.expr("rows * (rows - most.count)").alias("tests")), "several")
-    owned = labelled.select("node", "root").distinct()
-    sizes = owned.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    counts = "sig long, root long, count long, elements long"
+    held = labelled.select("root", "n", "sigs").mapInArrow(lambda x: _held(part, x), counts).groupBy("sig", "root").agg(*(F.sum(c).alias(c) for c in ("count", "elements")))
+    held = space.stage(held, "held")
+    most = F.max(F.struct("count", "root", "elements")).alias("most")
+    most = held.groupBy("sig").agg(most, F.sum("count").alias("rows"), F.sum("elements").alias("elements"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
+    several = most.selectExpr("sig", "most.root AS main", "rows", "elements", "rows - most.count AS outside", "elements - most.elements AS beyond", "rows * (rows - most.count) AS tests")
+    several = space.stage(several, "several")
+    owned = labelled.select("node", "n", "root").distinct()
+    sizes = owned.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("width"))
     meets = space.stage(held.join(several.select("sig", "main"), "sig").select("main", "root").distinct(), "meets")  # the main one too
-    costs = meets.join(sizes, "root").groupBy("main").agg(F.sum("size").alias("nodes"), F.sum(F.when(F.col("root") != F.col("main"), F.col("size"))).alias("outside"))
+    of_others = lambda c: F.sum(F.when(F.col("root") != F.col("main"), F.col(c)))
+    costs = meets.join(sizes, "root").groupBy("main").agg(F.sum("size").alias("nodes"), F.sum("width").alias("elements"), of_others("size").alias("outside"), of_others("width").alias("beyond"))
     costs = costs.join(several.groupBy("main").agg(F.sum("rows").alias("rows"), F.sum("tests").alias("tests")), "main")
-    slices = lambda size: F.ceil(F.col(size) / SLICE).cast("int").alias("slices")
-    together = costs.where(F.expr(f"nodes * (outside + {ROW_COST}) <= tests + {ROW_COST} * rows")).select("main", slices("nodes"))
+    slices = lambda size, width, name: F.expr(f"greatest(1, ceil({size} / {SLICE}), ceil({width} / {SLICE_ELEMENTS}))").alias(name)
+    grid = lambda size: (slices(size, "elements", "slices"), slices("outside", "beyond", "sides"))
+    together = costs.where(F.expr(f"nodes * (outside + {ROW_COST}) <= tests + {ROW_COST} * rows")).select("main", *grid("nodes"))
     together = space.stage(together, "together")
-    rows = meets.join(together, "main").join(owned, "root").select(F.col("main").alias("sig"), "node", "root", "main", "slices")
-    single = space.stage(several.join(together, "main", "left_anti").select("sig", "main", slices("rows")), "single")
+    rows = meets.join(together, "main").join(owned, "root").select(F.col("main").alias("sig"), "node", "root", "main", "slices", "sides")
+    single = space.stage(several.join(together, "main", "left_anti").select("sig", "main", *grid("rows")), "single")
     inside = labelled.join(held.join(single, "sig").select("root").distinct(), "root").select("node", "root", F.explode(F.expr(f"filter(sigs, s -> pmod(shiftright(s, 1), {part}) = 0)")).alias("sig"))
-    rows = rows.unionByName(inside.join(single, "sig").select("sig", "node", "root", "main", "slices"))
-    # many nodes are dealt to slices: the main component's to one each, the others to all
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(41)), F.col("slices")).cast("int"))
-    rows = rows.withColumn("at", F.explode(F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))))
-    return rows.select("sig", "at", "node", "root", "main", (F.col("at") == F.col("own")).alias("home"))
+    rows = rows.unionByName(inside.join(single, "sig").select("sig", "node", "root", "main", "slices", "sides"))
+    # many nodes are dealt to a grid of cells: each is at home in those of a row, and one outside the main component looks in those of a column
+    rows = rows.withColumns({"row": F.expr("pmod(xxhash64(node, 41), slices)"), "side": F.expr("pmod(xxhash64(node, 43), sides)")})
+    at_home, looking = "transform(sequence(0L, sides - 1), i -> row * sides + i)", "transform(sequence(0L, slices - 1), i -> i * sides + side)"
+    rows = rows.withColumn("at", F.explode(F.expr(f"IF(root = main, {at_home}, array_distinct(concat({at_home}, {looking})))")))
+    return rows.select("sig", "at", "node", "root", "main", F.expr("at div sides = row").alias("home"), F.expr("root <> main AND pmod(at, sides) = side").alias("looks"))
 
 
 def _degrees(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,10 +430,10 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
     (1) Sets become block sketches and a bit sketch.  (2) Nodes that share a block of LISTED nodes or fewer are paired; bit
     sketches and then the sets themselves decide.  (3) A node could agree with another in blocks alone that more nodes share, if
     it has as many of those as block_sketches() says.  Every such node is compared with the smallest of most of its blocks; then, in blocks
-    that still hold several components, by sketch with the nodes of other components; the nearest are verified and components
-    renewed until nothing that a sketch allows is untested.  So a group of any number of near copies is joined by a few links for
-    each member, and no link between components is lost: with blocks=None by proof, else but for the chances that
-    block_sketches() names.
+    that still hold several components, with the nodes of other components, by sketch and by the sets themselves in one task, which
+    lists only links that join components; first in some blocks, then in all.  So a group of any number of near copies is joined by a
+    few links for each member, pairs that a sketch allows are never rows, and no link between components is lost: with blocks=None by
+    proof, else but for the chances that block_sketches() names.
     (4) The links of such nodes among each other are counted, not listed: each component's are dealt to parts of bounded size,
     and every two parts are compared by the sets themselves.  All other links were listed in (2).
 
@@ -447,7 +470,7 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
     # of 96 blocks, the half with even signatures fails to show a pair with a chance of 5e-9; all blocks show it in a prefix.  As `agree`
     # of the shared signatures or more agree, the smallest that does is not among the last agree - 1 either
     chosen = F.expr("slice(array_sort(filter(shared, s -> IF(whole, s <= end, s & 1 = 0))), 1, size(shared) - greatest(1, agree) + 1)")
-    crowd = heavy.select("node", "n", "bits", chosen.alias("sigs")).where(F.size("sigs") > 0)
+    crowd = heavy.select("node", "n", chosen.alias("sigs")).where(F.size("sigs") > 0)
     crowd = space.stage(crowd, "crowd")
     space.drop(met)
 
@@ -463,40 +486,23 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return space.stage(pairs.select("a", "b", "set_a", "set_b").mapInArrow(lambda x: _similar(percent, x), "a long, b long"), "links")
 
-    links, tested, top, part = verified(near), near, 128, 16
+    links = verified(near)
     groups = not crowd.isEmpty()
     if groups:
-        outlines = space.stage(crowd.select("node", "n", "bits").dropDuplicates(["node"]), "outlines")
         # each node with the smallest of most of its first blocks: most of a family may be one component after that
         few = crowd.select(F.explode(F.slice(F.array_sort("sigs"), 1, 8)).alias("sig"), "node", "n")
         leader = few.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("first"))
         led = few.join(leader, "sig").where("node <> first.node AND 4 * least(n, first.n) >= 3 * greatest(n, first.n)")
         led = led.groupBy("node", F.col("first.node").alias("to")).count().groupBy("node").agg(F.max(F.struct("count", "to")).alias("one"))
         led = led.select(F.least("node", "one.to").alias("a"), F.greatest("node", "one.to").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-        led = space.stage(led, "led")
-        links, tested = links.unionByName(verified(led)), tested.unionByName(led)
-        # between rounds two rounds of contraction do: labels that differ within a component only cost tests
+        links = links.unionByName(verified(space.stage(led, "led")))
+    # a sixteenth of the blocks joins most of a group; whatever that leaves apart is compared in all
+    for part in (16, 1) if groups else ():
+        # before that two rounds of contraction do: labels that differ within a component only cost tests
         roots = space.stage(components(links, space, 2), "roots")
-    while groups:
-        labelled = crowd.select("node", "sigs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # a sixteenth of the blocks, and two of the nearest, join most of a group; whatever that leaves apart is compared in all
-        some = _dealt(space, labelled, part).join(outlines, "node").select("sig", "at", "node", "n", "root", "main", "home", "bits")
-        pairs = some.repartition("sig", "at").sortWithinPartitions("sig", "at").mapInArrow(lambda x, t=2 if part > 1 else top: _contenders(t, x), "a long, b long, more boolean")
-        pairs = space.stage(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "contenders")
-        fresh = space.stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        new = verified(fresh)
-        tested = tested.unionByName(fresh)
-        joined = not new.isEmpty()
-        if joined:
-            links = links.unionByName(new)
-        # where no node had further ones to test, all that sketches allow between components are tested
-        if part == 1 and pairs.where("more").isEmpty():
-            break
-        if joined:
-            roots = space.stage(components(links, space, 2), "roots")
-        elif part == 1:
-            top *= 64
-        part = 1
+        labelled = crowd.select("node", "n", "sigs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        some = _dealt(space, labelled, part).join(sets, "node").repartition("sig", "at").sortWithinPartitions("sig", "at")
+        links = links.unionByName(space.stage(some.mapInArrow(lambda x: _joined(percent, x), "a long, b long").distinct(), "links"))
     roots = components(links, space)
     roots = space.stage(roots, "roots")
     counted = ["n_links"] if count_links else []

@@ -204,3 +204,36 @@ def test_crowded_blocks_do_not_bring_a_node_along_with_each(spark, monkeypatch):
     out = similar_components(df).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(docs)
     assert came and max(came) <= 2 * len(docs), came
+
+
+def test_texts_that_sketches_take_for_similar_are_not_listed_in_pairs(spark, monkeypatch):
+    """150 texts that share 70 in 100 of their shingles and most of their blocks: sketches rule out none of their pairs, sets all."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(1400)]
+    docs = [(i, " ".join([*base, *(f"x{i}n{rng.randrange(10**9)}" for _ in range(600))])) for i in range(150)]
+    docs += [(150 + i, " ".join([*base, *(f"y{k}" for k in range(600)), f"own{i}"])) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    listed, map_in_arrow = [], type(df).mapInArrow
+
+    def counted(self, *args, **more):
+        if "set_a" in self.columns:
+            listed.append(self.count())
+        return map_in_arrow(self, *args, **more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    out = similar_components(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(docs)
+    assert listed and sum(listed) <= 3 * len(docs), listed
+
+
+@pytest.mark.parametrize("slice_,elements", [(16, 10**6), (10**6, 3000), (7, 900)])
+def test_crowded_blocks_dealt_to_cells(spark, monkeypatch, slice_, elements):
+    monkeypatch.setattr(parity_sketch, "SLICE", slice_)
+    monkeypatch.setattr(parity_sketch, "SLICE_ELEMENTS", elements)
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(500)]
+    texts = [*family(rng, vocab, 60, 150, 14), *family(rng, vocab, 40, 600, 40), *family(rng, vocab, 40, 12, 2), *(t for _, t in wide_families(5, 6, [13, 63, 119, 200]))]
+    docs = list(enumerate(texts))
+    out = similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(docs)
+    assert Counter((r.doc_id, r.n_links) for r in out) == degrees(docs)
