@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyagg.llm.common import Workspace, sliced, texts_as_bytes
@@ -93,21 +93,20 @@ def block_sketches(value: np.ndarray, own: np.ndarray, size: np.ndarray, blocks:
     return text[order], np.concatenate(out_sig)[order]
 
 
-def prefix_ends(text: np.ndarray, sig: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each text and band (the even one, the odd one) the last of its |A| / 3 + 1 smallest signatures, as signed numbers.
+def _agreeing(n: Column, is_odd: Column, filled: Column, blocks: int | None) -> tuple[Column, Column, Column, Column]:
+    """Of a set of n elements in its even or odd band, where it fills so many of the compared blocks: whether all of the band below 64
+    or of blocks=None are compared; in how many blocks it agrees with any similar set, by proof, and but for the chances of
+    block_sketches(); in how many listed blocks a pair must agree to be looked at.  A link that agrees in fewer listed ones, a
+    number for the whole band, agrees in as many common ones as the third less this and one more.
 
-    At most |A| / 3 of a set's blocks differ from those of a similar set, so the smallest signature that both have is among these
-    for either.
-    """
-    signed = sig.view(np.int64)
-    own = 2 * text + (signed < 0)
-    order = np.lexsort((signed, own))
-    first = np.searchsorted(own[order], np.arange(2 * len(size)))
-    count = np.diff(np.append(first, len(own)))
-    out = np.full(2 * len(size), np.iinfo(np.int64).min)
-    some = np.flatnonzero(count)
-    out[some] = signed[order][first[some] + np.minimum(size[some // 2] // 3 + 1, count[some]) - 1]
-    return out.reshape(-1, 2)
+    By proof that is the filled blocks less n / 3 where all are compared: in bands 6 and 7 there are 96."""
+    own = F.length(F.bin(n)) - 1
+    band = own - (own + is_odd.cast("int")) % 2
+    whole = F.lit(True) if blocks is None else band < 6
+    proven = F.when(whole if blocks is not None and blocks < 96 else whole | (band < 8), F.greatest(F.lit(1), filled - F.floor(n / 3))).otherwise(1).cast("int")
+    agree = F.when(whole, proven).otherwise(F.greatest(proven, F.lit(int(COMMON * min(blocks or BLOCKS, BLOCKS) / BLOCKS))))
+    listed = F.lit(1) if blocks is not None and blocks < 96 else F.when(band < 4, 1).when(band < 8, 5).otherwise(3)
+    return whole, proven, agree, F.least(listed, agree)
 
 
 def bit_sketches(value: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
@@ -138,11 +137,10 @@ def _sketched(blocks: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator
         cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
         odd = np.bincount(text[sig >> np.uint64(63) == 1], minlength=len(texts))
         bits = bit_sketches(value, own, len(texts))
-        ends = prefix_ends(text, sig, size)
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("text_key"), pa.array(size.astype(np.int32)), pa.array(mix(total + size.astype(np.uint64)).view(np.int64)), pa.array(other.view(np.int64)),
-            pa.array([sig[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array(odd.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(ends[:, 0]), pa.array(ends[:, 1]),
-        ], names=["doc_id", "text_key", "n", "node", "key", "sigs", "odd", "bits", "even_end", "odd_end"])
+            pa.array([sig[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array(odd.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()),
+        ], names=["doc_id", "text_key", "n", "node", "key", "sigs", "odd", "bits"])
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +156,9 @@ def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node, n) sorted by sig: the pairs of each block that LISTED nodes or fewer share (sig null), and the rows
-    (sig, node, n) of the others.  Blocks are told apart by whole columns; no more than one batch and LISTED rows are held."""
+    """Rows (sig, node, n) sorted by sig: the pairs of each block that LISTED nodes or fewer share (sig null), with how many such
+    blocks of the even and of the odd band, and the rows (sig, node, n) of the others.  Blocks are told apart by whole columns; no
+    more than one batch and LISTED rows are held."""
     tail, tail_hot = None, False
     none = np.zeros(0, np.int64)
 
@@ -181,11 +180,12 @@ def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (np.concatenate(x) if x else none for x in (a, b))
         good = np.flatnonzero(_alike(n[a], n[b]) & (node[a] != node[b]))
         a, b = a[good], b[good]
-        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
+        pairs, which = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0, return_inverse=True)
+        times = [np.bincount(which.ravel()[(sig[a] < 0) == odd], minlength=len(pairs) + len(rows)).astype(np.int32) for odd in (False, True)]
         return pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([np.zeros(len(pairs), np.int64), sig[rows]]), mask=np.arange(len(pairs) + len(rows)) < len(pairs)),
-            pa.array(np.concatenate([pairs[:, 0], node[rows]])), pa.array(np.concatenate([pairs[:, 1], node[rows]])),
-        ], names=["sig", "a", "b"])
+            pa.array(np.concatenate([pairs[:, 0], node[rows]])), pa.array(np.concatenate([pairs[:, 1], node[rows]])), *map(pa.array, times),
+        ], names=["sig", "a", "b", "even", "odd"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -445,31 +445,39 @@ def similar_components(docs: DataFrame, percent: int = 75, blocks: int | None =
         raise ValueError("blocks and sketches are laid out for a similarity of 0.75 or more")
     space = Workspace(docs.sparkSession, "parity")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    schema = "doc_id long, text_key long, n int, node long, key long, sigs binary, odd int, bits binary, even_end long, odd_end long"
+    schema = "doc_id long, text_key long, n int, node long, key long, sigs binary, odd int, bits binary"
     made = space.stage(rows.mapInArrow(lambda b: _sketched(blocks, b), schema), "sketched", large=True)
-    sketch = ("sigs", "odd", "bits", "even_end", "odd_end")
+    sketch = ("sigs", "odd", "bits")
     first = F.min(F.struct("doc_id", *sketch)).alias("one")
     nodes = space.stage(made.where("n > 0").groupBy("node", "key", "n").agg(first, F.min("doc_id").alias("least")).select("node", "n", "least", *(f"one.{c}" for c in sketch)), "nodes", large=True)
 
     shown = nodes.select("node", "n", "sigs").mapInArrow(_exploded, "sig long, node long, n int")
-    met = shown.repartition("sig").sortWithinPartitions("sig").mapInArrow(_collisions, "sig long, a long, b long")
+    met = shown.repartition("sig").sortWithinPartitions("sig").mapInArrow(_collisions, "sig long, a long, b long, even int, odd int")
     met = space.stage(met, "met", large=True)
     sketches = nodes.select("node", "n", "bits")
     of = lambda side: sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    near = met.where("sig IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    pairs = met.where("sig IS NULL").groupBy("a", "b").agg(F.sum("even").alias("even"), F.sum("odd").alias("odd"))
+    # similar sets agree in as many blocks as is proven; those that are not among the listed are among either's crowded ones
+    crowded = met.where("sig IS NOT NULL").groupBy(F.col("a").alias("node")).agg(*(F.sum(F.when((F.col("sig") < 0) == odd, 1).otherwise(0)).alias(c) for c, odd in (("even", False), ("odd", True))))
+    filled = {"even": F.octet_length("sigs") / 8 - nodes["odd"], "odd": nodes["odd"]}
+    least = []
+    for c in filled:
+        _, proven, _, listed = _agreeing(F.col("n"), F.lit(c == "odd"), filled[c], blocks)
+        least.append(F.greatest(listed, proven - F.coalesce(crowded[c], F.lit(0))).alias(f"{c}_least"))
+    least = space.stage(nodes.join(crowded, "node", "left").select("node", *least), "least")
+    for side in ("a", "b"):
+        pairs = pairs.join(least, (F.col(side) == least["node"]) & F.expr("even >= even_least OR odd >= odd_least"), "left_semi")
+    near = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
     near = space.stage(near.mapInArrow(_near, "a long, b long"), "near")
 
     # by band: sets near a power of two have blocks of two, and a link may agree in those of one alone
     common = met.where("sig IS NOT NULL").groupBy(F.col("a").alias("node"), (F.col("sig") < 0).alias("is_odd")).agg(F.collect_set("sig").alias("shared"))
     filled = F.when(F.col("is_odd"), F.col("odd")).otherwise(F.octet_length("sigs") / 8 - F.col("odd"))
-    # bands below 6 have all their blocks: those of sets under 64, and the lower (odd) one of sets under 128
-    whole = F.lit(True) if blocks is None else (F.col("n") < 64) | (F.col("n") < 128) & F.col("is_odd")
-    enough = F.when(whole, F.greatest(F.lit(1), filled - F.floor(F.col("n") / 3))).otherwise(int(COMMON * min(blocks or BLOCKS, BLOCKS) / BLOCKS))
-    heavy = common.join(nodes, "node").withColumns({"whole": whole, "agree": enough.cast("int")}).where(F.size("shared") >= F.greatest(F.lit(1), F.col("agree")))
-    heavy = heavy.withColumn("end", F.when(F.col("is_odd"), F.col("odd_end")).otherwise(F.col("even_end")))
-    # of 96 blocks, the half with even signatures fails to show a pair with a chance of 5e-9; all blocks show it in a prefix.  As `agree`
-    # of the shared signatures or more agree, the smallest that does is not among the last agree - 1 either
-    chosen = F.expr("slice(array_sort(filter(shared, s -> IF(whole, s <= end, s & 1 = 0))), 1, size(shared) - greatest(1, agree) + 1)")
+    whole, _, agree, listed = _agreeing(F.col("n"), F.col("is_odd"), filled, blocks)
+    heavy = common.join(nodes, "node").withColumns({"whole": whole, "agree": (agree - listed + 1).cast("int")}).where(F.size("shared") >= F.col("agree"))
+    # of 96 blocks, the half with even signatures fails to show a pair with a chance of 5e-9 (8e-8 if four listed ones are left out).  As
+    # `agree` of the shared signatures or more agree, the smallest that does is not among the last agree - 1
+    chosen = F.expr("slice(array_sort(filter(shared, s -> whole OR s & 1 = 0)), 1, size(shared) - agree + 1)")
     crowd = heavy.select("node", "n", chosen.alias("sigs")).where(F.size("sigs") > 0)
     crowd = space.stage(crowd, "crowd")
     space.drop(met)

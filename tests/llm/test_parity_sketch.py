@@ -237,3 +237,52 @@ def test_crowded_blocks_dealt_to_cells(spark, monkeypatch, slice_, elements):
     out = similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(docs)
     assert Counter((r.doc_id, r.n_links) for r in out) == degrees(docs)
+
+
+def test_texts_that_share_too_few_blocks_are_not_compared(spark, monkeypatch):
+    """Texts of 146 shingles that share 36 of them six by six, or 60 by the hundred: as all 96 blocks are compared, similar ones would agree in more."""
+    rng = random.Random(13)
+    own = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join([*(f"g{g}n{i}" for i in range(40)), *own(110)]) for g in range(40) for _ in range(6)]
+    texts += [" ".join([*(f"w{i}" for i in range(64)), *own(86)]) for _ in range(100)]
+    for g in range(5):
+        base = own(150)
+        texts += [" ".join([*base[: 150 - k], *own(k)]) for k in (0, 5, 12, 20)]
+    docs = list(enumerate(texts))
+    pairs, looks, map_in_arrow = [], [], type(spark.range(0)).mapInArrow
+
+    def counted(self, *args, **more):
+        if "bits_a" in self.columns:
+            pairs.append(self.count())
+        if "sigs" in self.columns and "root" in self.columns:
+            looks.append(self.selectExpr("sum(size(sigs))").first()[0] or 0)
+        return map_in_arrow(self, *args, **more)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    out = similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(docs)
+    assert Counter((r.doc_id, r.n_links) for r in out) == degrees(docs)
+    assert pairs and sum(pairs) <= 60 and sum(looks) <= 100, (pairs, looks)
+
+
+def test_pairs_of_near_copies_with_the_same_edits_are_not_listed(spark, monkeypatch):
+    """Copies of one text with up to eight words changed, of 60 words: any two share rare blocks with a chance, so pairs grow as their square."""
+    rng = random.Random(7)
+    docs = []
+    for i in range(400):
+        words = [f"b{k}" for k in range(150)]
+        for _ in range(rng.randint(1, 8)):
+            words[rng.randrange(150)] = f"e{rng.randrange(6)}"
+        docs.append((i, " ".join(words)))
+    pairs, map_in_arrow = [], type(spark.range(0)).mapInArrow
+
+    def counted(self, *args, **more):
+        if "bits_a" in self.columns:
+            pairs.append(self.count())
+        return map_in_arrow(self, *args, **more)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    out = similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(docs)
+    assert Counter((r.doc_id, r.n_links) for r in out) == degrees(docs)
+    assert pairs and sum(pairs) <= len(docs) // 2, pairs
